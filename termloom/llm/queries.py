@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup
+from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, quality_model, quality_rules
 from termloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,5 +40,51 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_exact_dedup": op3_exact_dedup}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and expressions of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).drop("text")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule failures and host verdicts of every document; its host is its source."""
+    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed", "host_rate", "host_rejected")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out("doc_id", 4, 2)
+    model = language_id.fit(docs.where(~out))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents")
+    mixed, sources = mixing.mix(docs, F.array("source"))
+    sources = F.broadcast(sources.select(F.to_json(F.array("source")).alias("of"), "source_size", "target"))  # a row per source: checked in mix()
+    found = mixed.join(sources, F.col("pattern") == F.col("of"), "left")
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_id.held_out("doc_id", 5, 0)
+    found = quality_model.score(docs, table(spark, sf_dir, "labels").where(~out).select("doc_id", "quality"))
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op7_mixing": op7_mixing,
+    "op8_quality_model": op8_quality_model,
+}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
