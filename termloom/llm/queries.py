@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, quality_model, quality_rules
+from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, pii, quality_model, quality_rules
 from termloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,13 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, as counts, a digest of the rules' matches and all places."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
@@ -86,5 +93,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_quality_model": op8_quality_model,
+    "op10_pii": op10_pii,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
