@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, pii, quality_model, quality_rules
+from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dedup, pii, quality_model, quality_rules
 from termloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,11 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates."""
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, as counts, a digest of the rules' matches and all places."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_quality_model": op8_quality_model,
+    "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
