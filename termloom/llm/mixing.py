@@ -21,6 +21,8 @@ from termloom.llm.common import materialise, n_words
 WEIGHTS = (3, 1, 2)
 #: Most patterns that the driver routes (a few hundred bytes each); sources are few, patterns are sets of them.
 PATTERNS_LIMIT = 100_000
+#: Most rows of the plan's tables that are broadcast; larger ones are joined by a shuffle.
+EDGES_BROADCAST = 500_000
 #: Documents of a pattern that are ranked together, about.
 BUCKET_DOCS = 4096
 
@@ -131,32 +133,53 @@ def fill_up(rows: pd.DataFrame) -> pd.DataFrame:
             break
         taken[inside[best]], taken[outside[at[best]]] = False, True
         gap -= int(gain[best])
-    return rows.assign(extra=taken.astype("int64"))[["id", "pattern", "size", "copies", "extra"]]
+    return rows.assign(extra=taken.astype("int64"))[["id", "pattern", "extra"]]
 
 
-def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """How often the mix takes each document, and the sources' sizes and targets.
+def pattern_of(sources: Column) -> Column:
+    """A document's set of sources, as JSON."""
+    return F.to_json(F.array_sort(F.array_distinct(sources)))
 
-    ``sources`` gives a document's sources as an array of strings; a null in it is a source, the last. The
-    first result has a row per row of ``docs``: id, pattern (its sources as JSON), size (words), copies. The
-    second has source, source_size, target, routed. A document is taken 0 to ``repeats`` times; a source's
-    words miss what was routed by less than the smallest document that didn't fit. Runs agree: the order is
-    a hash of seed and id. Null texts have no words; a table without words takes nothing; documents without
-    sources aren't taken. Ids should be unique; repeated rows share a place in the order.
+
+class Plan:
+    """What the mix takes, in tables far smaller than the documents.
+
+    patterns: buckets and copies of each pattern. edges: per bucket, whether it gets one copy more (null:
+    in part). split: for documents of the buckets taken in part, whether they get one more.
     """
+
+    def __init__(self, seed: int, patterns: DataFrame):
+        self.seed, self.patterns = seed, patterns
+        self.edges: DataFrame
+        self.split: DataFrame
+
+    def placed(self, rows: DataFrame, id_col: str, sources: Column) -> DataFrame:
+        """Add _copies, _rest, _u and _bucket to rows; documents of a pattern are ranked by a seeded hash of their id."""
+        own = self.patterns.select(*(F.col(x).alias(f"_{x}") for x in self.patterns.columns))
+        rows = rows.withColumn("_own", pattern_of(sources)).join(F.broadcast(own), F.col("_own").eqNullSafe(F.col("_pattern")))  # PATTERNS_LIMIT rows at most
+        rows = rows.withColumn("_u", F.xxhash64(F.lit(self.seed), id_col))
+        return rows.withColumn("_bucket", F.floor((F.col("_u").cast("double") / 2.0**64 + 0.5) * F.col("_buckets")).cast("long")).drop("_own", "_buckets")
+
+    def copies(self, rows: DataFrame, id_col: str, sources: Column) -> DataFrame:
+        """Add ``copies`` to rows, whatever their other columns; the rows themselves aren't shuffled while the tables are small."""
+        edges = self.edges.select(F.col("pattern").alias("_p"), F.col("bucket").alias("_b"), F.col("more").alias("_more"))
+        split = self.split.select(F.col("id").alias("_id"), F.col("pattern").alias("_q"), F.col("extra").alias("_extra"))
+        edges, split = (F.broadcast(x) if x.count() <= EDGES_BROADCAST else x for x in (edges, split))
+        found = self.placed(rows, id_col, sources).join(edges, F.col("_pattern").eqNullSafe(F.col("_p")) & (F.col("_bucket") == F.col("_b")), "left")
+        found = found.join(split, F.col("_more").isNull() & (F.col(id_col) == F.col("_id")) & F.col("_pattern").eqNullSafe(F.col("_q")), "left")
+        made = F.col("_copies") + F.coalesce("_more", "_extra", F.lit(0))
+        return found.withColumn("copies", made).drop("_copies", "_rest", "_u", "_bucket", "_pattern", "_p", "_b", "_more", "_id", "_q", "_extra")
+
+
+def plan_mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17) -> tuple[Plan, DataFrame, DataFrame]:
+    """A plan, the documents' sizes (id, names, size) and the sources (source, source_size, target)."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.to_json(F.array_sort(F.array_distinct(sources)), {"ignoreNullFields": "false"}).alias("pattern"),
-        n_words(F.col(text_col)).alias("size"),
-    )
-    rows = materialise(rows, "sizes")
-    groups = rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
+    rows = materialise(docs.select(F.col(id_col).alias("id"), sources.alias("names"), n_words(F.col(text_col)).alias("size")), "sizes")
+    groups = rows.groupBy(pattern_of(F.col("names")).alias("pattern")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     groups = materialise(groups, "patterns")
     if (found := groups.count()) > PATTERNS_LIMIT:
         raise ValueError(f"{found} patterns of sources; the driver routes at most {PATTERNS_LIMIT}")
-    known = groups.collect()
-    named = [(r, tuple(json.loads(r.pattern or "[]"))) for r in known]
+    named = [(r, tuple(json.loads(r.pattern or "[]"))) for r in groups.collect()]
     sizes: dict = {}
     for r, names in named:
         for s in names:
@@ -164,24 +187,39 @@ def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: s
     goal = targets(sizes, weights, share * sum(r.words for r, names in named if names), repeats)
     taken = route([(names, r.words) for r, names in named], {s: int(t) for s, t in goal.items()}, repeats)
 
-    plan = [(r.pattern, w // r.words if r.words else 0, w % r.words if r.words else 0, -(-r.docs // BUCKET_DOCS)) for (r, _), w in zip(named, taken, strict=True)]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "plan_pattern string, copies long, rest long, buckets long"))
-    order = F.xxhash64(F.lit(seed), "id")
-    placed = (
-        rows.join(plan_df, F.col("pattern").eqNullSafe(F.col("plan_pattern"))).drop("plan_pattern")
-        .withColumn("u", order)
-        .withColumn("bucket", F.floor((F.col("u").cast("double") / 2.0**64 + 0.5) * F.col("buckets")).cast("long"))
-    )
-    sums = placed.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    running = F.expr("sum(words) over (partition by pattern order by bucket)")
-    edges = materialise(sums.select(F.col("pattern").alias("p"), F.col("bucket").alias("b"), (F.col("rest") - running + F.col("words")).alias("fill"), F.col("words").alias("held")), "edges")
-    at = placed.join(edges, F.col("pattern").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b"))).drop("p", "b")
-    whole = (F.col("fill") >= F.col("held")) | (F.col("fill") <= 0)
-    clear = at.where(whole).select("id", "pattern", "size", "copies", F.when(F.col("fill") > 0, 1).otherwise(0).cast("long").alias("extra"))
-    split = (
-        at.where(~whole).select("id", "pattern", "size", "copies", "u", "fill")
-        .groupBy("pattern").applyInPandas(fill_up, f"id {kind}, pattern string, size long, copies long, extra long")
-    )
-    mixed = clear.unionByName(split).select(F.col("id").alias(id_col), "pattern", "size", (F.col("copies") + F.col("extra")).alias("copies"))
+    each = [(r.pattern, *(divmod(w, r.words) if r.words else (0, 0)), -(-r.docs // BUCKET_DOCS)) for (r, _), w in zip(named, taken, strict=True)]
+    plan = Plan(seed, spark.createDataFrame(each, "pattern string, copies long, rest long, buckets long"))
+    at = plan.placed(rows, "id", F.col("names"))
+    sums = at.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("words"), F.first("_rest").alias("rest"))
+    fill = F.col("rest") - F.expr("sum(words) over (partition by _pattern order by _bucket)") + F.col("words")
+    sums = sums.withColumn("fill", fill)
+    more = F.when(F.col("fill") >= F.col("words"), 1).when(F.col("fill") <= 0, 0).cast("long")
+    plan.edges = materialise(sums.select(F.col("_pattern").alias("pattern"), F.col("_bucket").alias("bucket"), "fill", more.alias("more")), "edges")
+    parts = F.broadcast(plan.edges.where("more is null").select(F.col("pattern").alias("_p"), F.col("bucket").alias("_b"), "fill"))  # a row per pattern at most
+    inside = at.join(parts, F.col("_pattern").eqNullSafe(F.col("_p")) & (F.col("_bucket") == F.col("_b"))).select("id", F.col("_pattern").alias("pattern"), "size", F.col("_u").alias("u"), "fill")
+    split = inside.groupBy("pattern").applyInPandas(fill_up, f"id {kind}, pattern string, extra long")
+    plan.split = materialise(split.groupBy("id", "pattern").agg(F.min("extra").alias("extra")), "split")
     of_source = spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "source string, source_size long, target double")
-    return mixed, of_source
+    return plan, rows, of_source
+
+
+def mix(docs: DataFrame, sources: Column, **settings) -> tuple[DataFrame, DataFrame]:
+    """How often the mix takes each document, and the sources' sizes and targets.
+
+    ``sources`` gives a document's sources as an array of strings; a null in it is a source, the last. The
+    first result has a row per row of ``docs``: id, names (its sources), size (words), copies. The second
+    has source, source_size, target. A document is taken 0 to ``repeats`` times; a source's words miss what
+    was routed by less than the smallest document that didn't fit. Runs agree: the order is a hash of seed
+    and id. Null texts have no words; a table without words takes nothing; documents without sources aren't
+    taken. Ids should be unique; repeated rows share a verdict. Other columns are neither read nor returned.
+    """
+    plan, rows, of_source = plan_mix(docs, sources, **settings)
+    return plan.copies(rows, "id", F.col("names")).withColumnRenamed("id", settings.get("id_col", "doc_id")), of_source
+
+
+def mixed_documents(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs``, with their columns, each as often as the mix takes it."""
+    plan, _, _ = plan_mix(docs, sources, id_col=id_col, **settings)
+    taken = plan.copies(docs.withColumnRenamed("copies", "_own_copies") if "copies" in docs.columns else docs, id_col, sources)
+    taken = taken.where("copies > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "_turn")
+    return taken.withColumnsRenamed({"_own_copies": "copies"}).select(*docs.columns)

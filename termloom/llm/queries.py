@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dedup, pii, quality_model, quality_rules
+from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dedup, pii, quality_model, quality_rules, training_order
 from termloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sequences of token ids at their places in training order, with digests of the records."""
+    docs = table(spark, sf_dir, "documents")
+    ordered = training_order.training_order(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, key=b"epoch-0")
+    return ordered.select("slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts and whether it stays."""
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -65,8 +72,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents")
     mixed, sources = mixing.mix(docs, F.array("source"))
-    sources = F.broadcast(sources.select(F.to_json(F.array("source")).alias("of"), "source_size", "target"))  # a row per source: checked in mix()
-    found = mixed.join(sources, F.col("pattern") == F.col("of"), "left")
+    found = mixed.join(F.broadcast(sources), F.col("names")[0].eqNullSafe(F.col("source")), "left")  # a row per source: bounded in mix()
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -92,6 +98,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_training_order": op2_training_order,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,

@@ -73,3 +73,14 @@ def test_overlaps_nulls_and_ties(spark):
 def test_empty_table(spark):
     mixed, sources = mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), F.array("source"))
     assert mixed.count() == 0 and sources.count() == 0
+
+
+def test_mixed_documents_repeat_rows_and_keep_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EDGES_BROADCAST", 0)
+    rows = [(i, f"{'w ' * (1 + i % 5)}", f"s{i % 3}", i) for i in range(90)] + [(500, None, None, 1), (501, "x y z", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    got = mixing.mixed_documents(docs, F.array("source"))
+    assert got.columns == docs.columns
+    counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    mixed, _ = mixing.mix(docs, F.array("source"))
+    assert counts == {r.doc_id: r.copies for r in mixed.collect() if r.copies}
