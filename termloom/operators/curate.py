@@ -141,13 +141,14 @@ def merge_delta(terms: DataFrame, additions: DataFrame, modifications: DataFrame
 
     Names match in lower case. A patch's nulls change nothing, so a parent can't be cleared; of several
     patches of a term each column's last value counts (by ``ord``). A patch goes to the first term of its
-    name (by ``ord``); one without a term is skipped. Added rows have no places until they are mapped.
+    name (by ``ord``, else by its spelling); one without a term is skipped. Added rows have no places until they are mapped.
     """
     left = terms.join(removals.select(fold("term").alias("_gone")).distinct(), fold(terms["term"]) == F.col("_gone"), "left_anti")
     fields = ["definition", "parent", "aliases", "see_also"]
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"_{c}") for c in fields]
     patches = modifications.groupBy(fold("term").alias("_name")).agg(*last)
-    numbered = left.withColumn("_n", F.row_number().over(Window.partitionBy(fold("term")).orderBy("ord")))
+    first = "ord" if "ord" in terms.columns else "term"
+    numbered = left.withColumn("_n", F.row_number().over(Window.partitionBy(fold("term")).orderBy(first)))
     patched = numbered.join(patches, (fold("term") == F.col("_name")) & (F.col("_n") == 1), "left")
     for c in fields:
         patched = patched.withColumn(c, F.coalesce(f"_{c}", c))
