@@ -56,7 +56,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule failures and host verdicts of every document; its host is its source."""
     found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed", "host_rate", "host_rejected")
+    rate = F.round("host_rate", 9).alias("host_rate")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed", rate, "host_rejected")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d),
+g AS (SELECT doc_id, i, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM w)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+s AS (SELECT d.doc_id, source, len(l) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words FROM d JOIN w USING (doc_id) LEFT JOIN r USING (doc_id)),
+q AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM s),
+f AS (SELECT *, CAST(base_failed AS INT) + CAST(10 * n_symbols > n_words AS INT) + CAST(n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines AS INT) + CAST(word_chars < 3 * n_words OR word_chars > 12 * n_words AS INT) AS n_failed FROM q),
+o AS (SELECT source, count(*) AS n, count(*) FILTER (n_failed > 0) AS x FROM f GROUP BY source),
+a AS (SELECT sum(n) AS n, sum(x) / sum(n) AS m, sum(n * (x / n) * (x / n)) / sum(n) AS sq, count(*) AS h FROM o),
+b AS (SELECT m, CASE WHEN sq - m * m - m * (1 - m) * h / n > 0 THEN greatest(1, m * (1 - m) / (sq - m * m - m * (1 - m) * h / n)) ELSE n END AS k FROM a),
+c AS (SELECT source, (x + m * k) / (n + k) AS rate FROM o, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (n_failed = 0 AND rate <= 0.5) AS kept, n_failed, round(rate, 9) AS host_rate, rate > 0.5 AS host_rejected
+FROM f JOIN c ON f.source IS NOT DISTINCT FROM c.source
+"""
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +109,19 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i : i + 4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 2))) AS i FROM w WHERE len(l) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, min(reached) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, as counts, a digest of the rules' matches and all places."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -108,4 +141,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_near_dedup": OP9_SQL}

@@ -5,9 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tests.llm.helpers import same
 from termloom.llm import near_dedup as nd
 from termloom.llm.components import components
-from termloom.llm.queries import op9_near_dedup
+from termloom.llm.queries import OP9_SQL, op9_near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,3 +116,7 @@ def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(1, 40)] + [(100, 101 + i) for i in range(30)] + [(500, 500)]
     found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert found == {i: 1 for i in range(2, 41)} | {i: 100 for i in range(101, 131)}
+
+
+def test_query_equals_sql(spark):
+    assert same(spark, op9_near_dedup, OP9_SQL) == 200

@@ -1,8 +1,9 @@
 import re
 from collections import Counter
 
+from tests.llm.helpers import same
 from termloom.llm import quality_rules as qr
-from termloom.llm.queries import op5_quality_rules
+from termloom.llm.queries import OP5_SQL, op5_quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,3 +65,7 @@ def test_empty_table_and_hosts_beyond_the_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "a", None, "x"), (2, None, "h", "y")], "doc_id long, text string, source string, host_rate string")
     assert qr.quality_rules(rows).count() == 2
     assert qr.quality_rules(rows.limit(0)).count() == 0
+
+
+def test_query_equals_sql(spark):
+    assert same(spark, op5_quality_rules, OP5_SQL) == 200
