@@ -54,9 +54,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = hashed.join(per_digest.where("n = 1").drop("n"), "digest", "left")
     clashing = materialise(per_digest.where("n > 1").select("digest"), "clashing")
     if not clashing.isEmpty():
-        shared = texts.join(F.broadcast(clashing), "digest", "left_semi")
+        shared = texts.join(clashing, "digest", "left_semi")
         told = shared.join(by_text(shared), ["digest", "norm"])
-        rest = found.join(F.broadcast(clashing), "digest", "left_anti")
+        rest = found.join(clashing, "digest", "left_anti")
         found = rest.unionByName(told.select(*rest.columns))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
