@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.config import STOP_WORDS
@@ -48,8 +48,8 @@ def tfidf(docs: DataFrame, k: int = 500, stop_words=STOP_WORDS) -> DataFrame:
     n = docs.count()
     scored = document_frequency(token_counts(docs, stop_words)).select("term", "df", (F.col("max_tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("raw"))
     best = scored.where("raw > 0").orderBy(F.desc("raw"), "term").limit(k)
-    top = best.agg(F.max("raw").alias("most"))
-    return best.join(F.broadcast(top), F.lit(True)).select("term", (F.col("raw") / F.col("most")).alias("score"), "df")  # one row
+    most = F.max("raw").over(Window.partitionBy(F.lit(0)))  # over the k rows that are left
+    return best.select("term", (F.col("raw") / most).alias("score"), "df")
 
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n{2,}")
