@@ -11,6 +11,7 @@ from importlib.util import find_spec
 from pathlib import Path
 
 from termloom import config as settings
+from termloom import logs
 
 
 def session():
@@ -69,6 +70,7 @@ def main(argv: list[str] | None = None) -> int:
 
         os.chdir(args.chdir)
     conf = settings.load(".", args.config)
+    logs.start(conf.log_level, args.quiet, args.verbose, conf.log_dir).info("command %s", args.command)
     result = globals()[f"do_{args.command}"](args, conf)
     if args.json:
         print(json.dumps(result))

@@ -46,3 +46,8 @@ def suggestions(checked: DataFrame) -> DataFrame:
     first = Window.partitionBy("term", "suggestion").orderBy("pos", "file")
     rows = checked.where("suggestion is not null").withColumn("n", F.row_number().over(first)).where("n = 1")
     return rows.select("term", F.col("suggestion").alias("alias"), "file")
+
+
+def without_places(terms: DataFrame) -> DataFrame:
+    """Suggested terms: those that stand nowhere yet."""
+    return terms.where(F.size("locations") == 0)

@@ -117,6 +117,7 @@ def test_config_layers(tmp_path, monkeypatch):
 
 def test_command_line(spark, folder, monkeypatch, capsys):
     monkeypatch.chdir(folder)
+    monkeypatch.setenv("TERMLOOM_LOG_DIR", str(folder / "log"))
     assert cli.main(["--json", "extract", "src", "-o", "c.yaml"]) == 0
     assert json.loads(capsys.readouterr().out)["documents"] == 3
     assert cli.main(["--json", "curate", "c.yaml", "--dry-run"]) == 0
