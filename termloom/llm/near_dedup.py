@@ -34,6 +34,8 @@ CHUNKS = K // CHUNK
 R = 28
 #: Members up to which a bucket's pairs are compared in one task; larger buckets are indexed again.
 BUCKET = 2048
+#: Shingles of a bucket's sets that are held in memory at once, twice; of longer texts, parts of a bucket meet in turn.
+HELD = 2_000_000
 #: Most row ids that are broadcast to pick the texts to confirm.
 IDS_BROADCAST = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(9))
@@ -152,47 +154,109 @@ def bucket_pairs(rows: pa.Table) -> tuple[list[int], list[int]]:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], int), np.array([], int))
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) within R whose components differ, from members (key, second, id, component, signature).
-
-    Buckets are dealt to tasks whole and read one at a time. A pair is taken from the first key both share
-    only, where the bucket wasn't indexed again.
-    """
-    kind = dict(members.dtypes)["id"]
-
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        rows = pa.Table.from_batches(parts)
-        if rows.num_rows < 2:
-            return None
-        a, b = bucket_pairs(rows)
-        key, second = rows.column("key")[0].as_py(), rows.column("second")[0].as_py()
-        if second == -1 and len(a):
-            signed = stacked(rows.column("signature").combine_chunks())
-            keys = chunk_keys(signed)
-            first = (keys[a] == keys[b]).argmax(1) == key >> 48
-            a, b = a[first], b[first]
-        ids = rows.column("id").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
+def grouped(rows: DataFrame, keys: list[str], schema: str, flush) -> DataFrame:
+    """Apply ``flush`` to the rows of each key, which a task reads one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for whole in batches:
             for batch in cut(whole):
-                keys = np.stack([batch.column("key").to_numpy(), batch.column("second").to_numpy()])
-                edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+                values = np.stack([batch.column(k).to_numpy() for k in keys])
+                edges = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
                 for i, j in zip(edges[:-1], edges[1:], strict=True):
-                    if held and tuple(keys[:, i]) != last:
-                        if (out := flush(held)) is not None:
+                    if held and tuple(values[:, i]) != last:
+                        if (out := flush(pa.Table.from_batches(held))) is not None:
                             yield out
                         held = []
                     held.append(batch.slice(i, j - i))
-                    last = tuple(keys[:, i])
-        if held and (out := flush(held)) is not None:
+                    last = tuple(values[:, i])
+        if held and (out := flush(pa.Table.from_batches(held))) is not None:
             yield out
 
-    dealt = members.repartition("key", "second").sortWithinPartitions("key", "second")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """Which members have to meet: key, second, tile, at, id, component, partners.
+
+    A row per member (key, second, id, component, signature, n_shingles) of a bucket that has a pair within R
+    across components; ``partners`` are places (``at``) within the tile. A pair belongs to the first key both
+    share only, where the bucket wasn't indexed again. A bucket's members fall into blocks of HELD shingles;
+    a tile brings two blocks together (or one to itself), so it is rare for a bucket to have several.
+    """
+    kind = dict(members.dtypes)["id"]
+
+    def flush(rows: pa.Table) -> pa.RecordBatch | None:
+        if rows.num_rows < 2:
+            return None
+        left, right = bucket_pairs(rows)
+        key, second = rows.column("key")[0].as_py(), rows.column("second")[0].as_py()
+        if second == -1 and len(left):
+            keys = chunk_keys(stacked(rows.column("signature").combine_chunks()))
+            first = (keys[left] == keys[right]).argmax(1) == key >> 48
+            left, right = left[first], right[first]
+        if not len(left):
+            return None
+        used = np.unique(np.concatenate([left, right]))
+        block = np.zeros(rows.num_rows, np.int64)
+        block[used] = np.cumsum(rows.column("n_shingles").to_numpy()[used]) // HELD
+        tiles = block[left] << 20 | block[right]
+        out: list[tuple[int, int, int, list[int]]] = []
+        for tile in np.unique(tiles).tolist():
+            a, b = left[tiles == tile], right[tiles == tile]
+            inside = np.unique(np.concatenate([a, b]))
+            at = {r: i for i, r in enumerate(inside.tolist())}
+            partners: list[list[int]] = [[] for _ in at]
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                partners[at[x]].append(at[y])
+            out += [(tile, i, r, partners[i]) for r, i in at.items()]
+        tile, at, row, partners = zip(*out, strict=True)
+        taken = rows.select(["id", "component"]).take(pa.array(row)).combine_chunks()
+        n = len(out)
+        columns = [pa.array([key] * n), pa.array([second] * n), pa.array(tile), pa.array(at, pa.int64()), taken["id"].combine_chunks(), taken["component"].combine_chunks(), pa.array(partners, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["key", "second", "tile", "at", "id", "component", "partners"])
+
+    return grouped(members, ["key", "second"], f"key long, second long, tile long, at long, id {kind}, component {kind}, partners array<int>", flush)
+
+
+def confirm_meetings(meeting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each tile, one for each two components that are found to be one."""
+    kind = dict(meeting.dtypes)["id"]
+
+    def flush(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.sort_by("at")
+        sets_ = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        ids, component = rows.column("id").to_pylist(), rows.column("component").to_pylist()
+        parent = {c: c for c in component}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        sizes = np.array([len(x) for x in sets_])
+        _, local = np.unique(np.concatenate(sets_), return_inverse=True)
+        ends = np.cumsum(sizes)
+        words = [local[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        mark = np.zeros(int(local.max()) + 1 if len(local) else 0, bool)
+        found = []
+        for i, partners in enumerate(rows.column("partners").to_pylist()):
+            if partners:
+                mark[words[i]] = True
+                for j in partners:
+                    if root(component[i]) != root(component[j]):
+                        both = np.count_nonzero(mark[words[j]])
+                        if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                            parent[root(component[i])] = root(component[j])
+                            found.append((ids[i], ids[j]))
+                mark[words[i]] = False
+        if not found:
+            return None
+        a, b = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, rows.schema.field("id").type), pa.array(b, rows.schema.field("id").type)], ["a", "b"])
+
+    return grouped(meeting.join(sets, "id"), ["key", "second", "tile"], f"a {kind}, b {kind}", flush)
 
 
 def near_by_signature(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -244,7 +308,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = materialise(signatures(rows), "signatures")
     classes = materialise(signed.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep")), "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature").dropDuplicates(["id"])
+    reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature", "n_shingles").dropDuplicates(["id"])
     reps = materialise(reps, "reps")
 
     keys = index(reps)
@@ -262,11 +326,10 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     open_ = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
     left = own.join(open_.select("key", "n"), "key").join(reps, "id").withColumn("second", F.lit(-1).cast("long"))
     left = materialise(left, "unresolved")
-    pairs = cross_pairs(left.where(F.col("n") <= BUCKET))
+    meeting = meetings(left.where(F.col("n") <= BUCKET))
     if not left.where(F.col("n") > BUCKET).isEmpty():
-        pairs = pairs.unionByName(cross_pairs(reindex(left.where(F.col("n") > BUCKET))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialise(confirm(materialise(pairs, "pairs"), sets, percent), "confirmed")
+        meeting = meeting.unionByName(meetings(reindex(left.where(F.col("n") > BUCKET))))
+    more = materialise(confirm_meetings(materialise(meeting, "meetings"), sets, percent), "confirmed")
     found = components(links.unionByName(more).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("class").alias("of"), F.coalesce("component", "rep").alias("component_id"))

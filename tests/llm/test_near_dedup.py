@@ -84,10 +84,11 @@ def test_index_meets_all_pairs_within_the_threshold():
     assert nd.R < 2 * (nd.CHUNKS - 1)
 
 
-@pytest.mark.parametrize("bucket", [2048, 3])
-def test_equals_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,held", [(2048, 2_000_000), (3, 2_000_000), (2048, 300)])
+def test_equals_brute_force(spark, monkeypatch, bucket, held):
     monkeypatch.setattr(nd, "BUCKET", bucket)
-    rng = random.Random(bucket)
+    monkeypatch.setattr(nd, "HELD", held)
+    rng = random.Random(bucket + held)
     rows = [(0, None), (1, ""), (2, "a b"), (3, "A  B"), (4, "a b c"), (5, "word " * 30_000)]
     rows += family(rng, 40, 60, 3, 100) + family(rng, 40, 60, 6, 200) + family(rng, 30, 200, 12, 300)
     shared = " ".join(f"s{i}" for i in range(25))
