@@ -62,6 +62,19 @@ def broadcast_value(spark: SparkSession, value, limit: int, size: int):
     return spark.sparkContext.broadcast(value)
 
 
+def bounded_sample(rows: DataFrame, id_col: str, most: int, seed: int, *ties: str) -> DataFrame:
+    """The ``most`` rows of smallest seeded hash of their id (all rows, if they aren't more).
+
+    Rows far above the hash that is to be expected for the last one are left out before the top-k, so what
+    the top-k gathers from all tasks together is a little more than ``most`` rows, however many tasks there are.
+    """
+    number = rows.count()
+    u = F.xxhash64(F.lit(seed), id_col)
+    if number > 2 * most:
+        rows = rows.where(u.cast("double") / 2.0**64 + 0.5 < (most + 10 * most**0.5 + 10) / number)
+    return rows.orderBy(u, id_col, *ties).limit(most)
+
+
 def with_fields(df: DataFrame, fields: str) -> T.StructType:
     """The schema of ``df`` with more fields, given as DDL, at its end."""
     return T.StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], fields).schema.fields])

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import broadcast_value, map_arrow, materialise, with_fields
+from termloom.llm.common import bounded_sample, broadcast_value, map_arrow, materialise, with_fields
 
 #: Labelled documents that the model is learned from at most: those of the smallest seeded hash.
 SAMPLE_DOCS = 20_000
@@ -106,7 +106,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Counts are summed by Spark; the driver gets the kept words and n-grams only.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    picked = rows.select("id", F.xxhash64(F.lit(seed), "id").alias("u")).orderBy("u", "id").limit(SAMPLE_DOCS).select("id")
+    picked = bounded_sample(rows.select("id"), "id", SAMPLE_DOCS, seed)
     sample = materialise(rows.join(F.broadcast(picked), "id", "left_semi"), "sample")
     languages = sorted(r.lang for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_KEPT).collect())
 
