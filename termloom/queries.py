@@ -450,8 +450,16 @@ SELECT doc_id, min(s) + 2 AS found FROM k GROUP BY doc_id
 """)
 def match_in_ranges(spark, sf):
     ranges = F.expr("array(named_struct('s', 20L, 'e', 90L), named_struct('s', 100L, 'e', 300L))")
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("t"))
-    return rows.select("doc_id", I.first_in_ranges("t", F.lit("an"), ranges).alias("found")).where("found is not null")
+    rows = table(spark, sf, "documents")
+    return rows.select("doc_id", I.first_in_ranges("text", F.lit("an"), ranges).alias("found")).where("found is not null")
+
+
+@query()
+def match_in_ranges_whole(spark, sf):
+    """Ranges that cover each document: its two halves."""
+    ranges = F.expr("array(named_struct('s', 0L, 'e', cast(char_length(text) div 2 as bigint)), named_struct('s', cast(char_length(text) div 2 as bigint), 'e', cast(char_length(text) as bigint)))")
+    rows = table(spark, sf, "documents")
+    return rows.select("doc_id", I.first_in_ranges("text", F.lit("tion"), ranges).alias("found")).where("found is not null")
 
 
 @query("SELECT doc_id, CASE WHEN strpos(lower(text), 'tion') > 0 THEN CAST(strlen(substring(text, 1, strpos(lower(text), 'tion') + 3)) AS BIGINT) END AS after_bytes FROM documents")

@@ -1,0 +1,38 @@
+"""Queries that take whole documents, against brute force."""
+
+import os
+import re
+
+from pyspark.sql import functions as F
+
+from termloom import queries as q
+from termloom.operators import intervals as I
+
+SF = os.environ.get("TERMLOOM_SF", "/root/testdata/sf0.001")
+
+
+def test_all_matches_overlap_and_need_no_quoting(spark):
+    cases = [("aaaa", "aa"), ("anan xan", "an"), ("none", "an"), ("", "a"), ("a", ""), (r"x\Ey\E", r"\E"), ("\U0001f600an\U0001f600AN", "an"), ("a.b.c", "."), (r"a\Q", r"\q")]
+    rows = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(cases)], "i int, t string, x string")
+    got = {r.i: r.m for r in rows.select("i", I.all_matches("t", "x").alias("m")).collect()}
+    for i, (t, x) in enumerate(cases):
+        assert got[i] == [k for k in range(len(t)) if x and t.lower().startswith(x.lower(), k)], (t, x)
+
+
+def test_match_in_ranges_whole_reads_every_document_to_its_end(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        half = len(r.text) // 2
+        for m in re.finditer("(?=tion)", r.text.lower()):
+            s, e = m.start(), m.start() + 4
+            if (e <= half or s >= half) and not re.match(r"\.[A-Za-z]", r.text[e:]):
+                want[r.doc_id] = e
+                break
+    got = {r.doc_id: r.found for r in q.QUERIES["match_in_ranges_whole"](spark, SF).collect()}
+    assert got == want and max(got.values()) > 400
+
+
+def test_ranges_beyond_a_long_prefix(spark):
+    rows = spark.createDataFrame([("x" * 100_000 + "an",)], "t string")
+    ranges = F.expr("array(named_struct('s', 100000L, 'e', 100002L))")
+    assert rows.select(I.first_in_ranges("t", F.lit("an"), ranges)).first()[0] == 100_002
