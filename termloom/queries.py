@@ -479,8 +479,27 @@ def render_terms(spark):
     return spark.createDataFrame(rows, f"term string, definition string, parent string, aliases array<string>, locations {R.LOCATIONS}")
 
 
+def everywhere(spark, docs: DataFrame) -> DataFrame:
+    """The terms to render, placed in every file that holds one of their forms besides the places they have.
+
+    A row for each term and file, so that no list grows with the corpus.
+    """
+    terms = render_terms(spark)
+    forms = terms.select("term", F.explode(F.concat(F.array("term"), F.col("aliases"))).alias("form")).withColumn("form", F.lower("form"))
+    hits = C.locate(forms.select(F.col("form").alias("term")), docs.select("file", F.col("content").alias("prose")))
+    found = hits.join(F.broadcast(forms), F.col("key") == F.col("form")).select("term", "file", F.lit(False).alias("main"))
+    given = terms.select("term", F.explode("locations").alias("at")).select("term", "at.file", "at.main")
+    places = found.unionByName(given).groupBy("term", "file").agg(F.max("main").alias("main"))
+    at = F.array(F.struct("file", "main", F.lit("").alias("context"))).alias("locations")
+    return places.join(F.broadcast(terms.drop("locations")), "term").select("term", "definition", "parent", "aliases", at)
+
+
+def placed_everywhere(spark, docs: DataFrame) -> DataFrame:
+    return N.place_terms(everywhere(spark, docs), docs)
+
+
 def render_docs(spark, sf):
-    return table(spark, sf, "documents").where("doc_id < 10").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"), F.lit(None).cast("array<struct<s bigint, e bigint>>").alias("ranges"))
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"), F.lit(None).cast("array<struct<s bigint, e bigint>>").alias("ranges"))
 
 
 @query("""
@@ -495,12 +514,18 @@ def placed_terms(spark, sf):
 @query()
 def annotate(spark, sf):
     docs = render_docs(spark, sf)
-    return N.annotate(docs, N.place_terms(render_terms(spark), docs))
+    return N.annotate(docs, placed_everywhere(spark, docs))
 
 
 @query()
 def render_counters(spark, sf):
-    return N.counters(N.place_terms(render_terms(spark), render_docs(spark, sf)))
+    return N.counters(placed_everywhere(spark, render_docs(spark, sf)))
+
+
+@query()
+def placed_terms_whole(spark, sf):
+    """The terms wherever they stand; placed_terms has the few places of its SQL."""
+    return placed_everywhere(spark, render_docs(spark, sf)).select("file", "term", "main", F.col("offset").alias("off"))
 
 
 @query(f"""
@@ -541,6 +566,24 @@ def alias_suggestions(spark, sf):
     return V.suggestions(checked(spark, sf))
 
 
+def checked_everywhere(spark, sf):
+    """Each term checked in every document, a row for each of them."""
+    docs = render_docs(spark, sf)
+    terms = spark.createDataFrame([(t, a) for t, a, _ in CHECKED_TERMS], "term string, aliases array<string>")
+    at = F.array(F.struct("file", F.lit(False).alias("main"), F.lit("").alias("context"))).alias("locations")
+    return V.check_locations(docs.select("file").crossJoin(F.broadcast(terms)).select("term", "aliases", at), docs)
+
+
+@query()
+def validate_report_whole(spark, sf):
+    return V.report(checked_everywhere(spark, sf))
+
+
+@query()
+def alias_suggestions_whole(spark, sf):
+    return V.suggestions(checked_everywhere(spark, sf))
+
+
 def sources(spark, sf, ext: str) -> DataFrame:
     """Manuscripts put together from the documents' first words."""
     start = F.regexp_replace(F.substring("text", 1, 120), r"[^\p{L}\p{N} ]", " ")

@@ -36,3 +36,59 @@ def test_ranges_beyond_a_long_prefix(spark):
     rows = spark.createDataFrame([("x" * 100_000 + "an",)], "t string")
     ranges = F.expr("array(named_struct('s', 100000L, 'e', 100002L))")
     assert rows.select(I.first_in_ranges("t", F.lit("an"), ranges)).first()[0] == 100_002
+
+
+def documents(spark):
+    return {str(r.doc_id): r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def placed(texts):
+    """File, term, main, byte offset behind the first form that the file holds."""
+    found = []
+    for term, forms, given in (("tion", ["tion", "x"], {"1": False, "2": True, "3": False}), ("an", ["an"], {"1": True, "9": False}), ("nowhere-at-all", ["nowhere-at-all", "the"], {"1": False, "2": False}), ("zzzz", ["zzzz"], {"3": False})):
+        for file, text in texts.items():
+            at = [(text.lower().index(x), len(x)) for x in forms if x in text.lower()]
+            if at or file in given:
+                found.append((file, term, given.get(file, False), len(text[: sum(at[0])].encode()) if at else None))
+    return found
+
+
+def test_terms_are_placed_in_every_document(spark):
+    want = placed(documents(spark))
+    got = q.QUERIES["placed_terms_whole"](spark, SF).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    put = [x for x in want if x[3] is not None]
+    row = q.QUERIES["render_counters"](spark, SF).first()
+    assert tuple(row) == (len({x[0] for x in put}), len(put), sum(x[2] for x in put), len(want) - len(put))
+    assert row.files > 10
+
+
+def test_every_document_is_annotated(spark):
+    texts = documents(spark)
+    marks = {}
+    for file, term, main, off in placed(texts):
+        if off is not None:
+            name = "#index-main" if main else "#index"
+            marks.setdefault(file, []).append((off, term, f'{name}("tion", "an")' if term == "an" else f"{name}[{term}]"))
+    want = {}
+    for file, text in texts.items():
+        data = text.encode()
+        for off, _, mark in sorted(marks.get(file, []), reverse=True):
+            data = data[:off] + mark.encode() + data[off:]
+        want[file] = ('#import "@preview/in-dexter:0.7.2": *\n' if file in marks else "") + data.decode()
+    assert {r.file: r.annotated for r in q.QUERIES["annotate"](spark, SF).collect()} == want
+
+
+def test_every_document_is_validated(spark):
+    forms = {"thing unseen": ["unseen", "thing", "thing unseens"], "qqq tions": ["tions", "qqq", "qqq tion"], "ans": ["an"], "the": ["thes"], "nope": ["nopes"]}
+    checked, resolved, first = 0, 0, {}
+    for file, text in documents(spark).items():
+        low = text.lower()
+        for term, aliases, _ in q.CHECKED_TERMS:
+            checked += 1
+            if any(x in low for x in [term, *aliases]):
+                resolved += 1
+            elif met := [x for x in forms[term] if x in low]:
+                first[term, met[0]] = min(file, first.get((term, met[0]), file))
+    assert tuple(q.QUERIES["validate_report_whole"](spark, SF).first()) == (checked, resolved, checked - resolved)
+    assert {(r.term, r.alias): r.file for r in q.QUERIES["alias_suggestions_whole"](spark, SF).collect()} == first
