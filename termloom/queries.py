@@ -585,8 +585,8 @@ def alias_suggestions_whole(spark, sf):
 
 
 def sources(spark, sf, ext: str) -> DataFrame:
-    """Manuscripts put together from the documents' first words."""
-    start = F.regexp_replace(F.substring("text", 1, 120), r"[^\p{L}\p{N} ]", " ")
+    """Manuscripts put together around the documents' whole texts, whatever markup they hold."""
+    start = F.coalesce("text", F.lit(""))
     md = F.concat(F.lit("---\ntitle: t\n---\n# Heading\n\n"), start, F.lit(" **bold** `code`\n\n- item\n\n```\nfenced\n```\n"))
     typ = F.concat(F.lit("= Heading <lab>\n\n"), start, F.lit(" *bold* $x^2$ @ref `raw`\n#block[inside]\n// note\n"))
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit(ext).alias("ext"), (typ if ext == "typ" else md).alias("content"))

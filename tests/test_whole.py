@@ -92,3 +92,20 @@ def test_every_document_is_validated(spark):
                 first[term, met[0]] = min(file, first.get((term, met[0]), file))
     assert tuple(q.QUERIES["validate_report_whole"](spark, SF).first()) == (checked, resolved, checked - resolved)
     assert {(r.term, r.alias): r.file for r in q.QUERIES["alias_suggestions_whole"](spark, SF).collect()} == first
+
+
+def manuscripts(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {ext: {int(r.file): r for r in q.QUERIES[name](spark, str(tmp_path)).collect()} for ext, name in (("md", "markdown_prose"), ("typ", "typst_prose"))}
+
+
+def test_parsers_get_whole_texts(spark, tmp_path):
+    long = [f"w{i}x" for i in range(20_000)]
+    past = "plain " * 30
+    got = manuscripts(spark, tmp_path, [" ".join(long), past + "**strong** `hidden` last", past + "*strong* `hidden` last", "first paragraph\n\n" + past + "second, with a full stop."])
+    for ext in got:
+        assert [w for w in got[ext][0].prose.split() if re.fullmatch(r"w\d+x", w)] == long
+        assert "second, with a full stop." in got[ext][3].prose
+    for ext, i in (("md", 1), ("typ", 2)):
+        words = got[ext][i].prose.split()
+        assert words[:30] == ["plain"] * 30 and words[30:32] == ["strong", "last"] and "hidden" not in words
