@@ -340,6 +340,44 @@ def diff_ratio(spark, sf):
     return counts.select("new", "total", F.round(ratio, 9).alias("ratio"), R.ratio_warning(ratio).alias("warning"))
 
 
+VOCABULARIES_SQL = f"""
+{TOKENS_SQL}, prior AS (SELECT DISTINCT term FROM c),
+x AS (SELECT unnest(regexp_split_to_array(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]+', '', 'g')), '\\s+')) AS term FROM conversations),
+fresh AS (SELECT DISTINCT term FROM x WHERE strlen(term) >= 2 AND term NOT IN ({STOPS})), named AS (SELECT term FROM prior UNION SELECT term || 's' FROM prior)
+"""
+
+
+def vocabularies(spark, sf):
+    """Snapshots of whole tables: every term of the documents, each with a plural and a place, and every one of the conversations."""
+    at = F.array(F.struct(F.col("file"), F.lit(False).alias("main"), F.lit("").alias("context")))
+    terms = corpus(spark, sf).select("file", F.explode(T.tokens("prose", STOP_WORDS)).alias("term")).groupBy("term").agg(F.min("file").alias("file"))
+    fresh = table(spark, sf, "conversations").select(F.explode(T.tokens("text", STOP_WORDS)).alias("term")).distinct()
+    return terms.select("term", F.array(F.concat("term", F.lit("s"))).alias("aliases"), at.alias("locations")), fresh
+
+
+@query(f"WITH {VOCABULARIES_SQL} SELECT term FROM fresh WHERE term NOT IN (SELECT term FROM named)")
+def new_candidates_whole(spark, sf):
+    terms, fresh = vocabularies(spark, sf)
+    return R.new_candidates(fresh, terms)
+
+
+@query(f"WITH {VOCABULARIES_SQL} SELECT term FROM prior WHERE term NOT IN (SELECT term FROM fresh) AND term || 's' NOT IN (SELECT term FROM fresh)")
+def stale_terms_whole(spark, sf):
+    terms, fresh = vocabularies(spark, sf)
+    return R.stale_terms(terms, fresh).select("term")
+
+
+@query(f"""
+WITH {VOCABULARIES_SQL}, n AS (SELECT count(*) FILTER (term NOT IN (SELECT term FROM named)) AS new, count(*) AS total FROM fresh)
+SELECT new, total, round(CASE WHEN total = 0 THEN 0 ELSE new / total END, 9) AS ratio, CASE WHEN new >= 0.7 * total THEN 'full rebuild advised' WHEN new >= 0.4 * total THEN 'many new candidates' END AS warning FROM n
+""")
+def diff_ratio_whole(spark, sf):
+    terms, fresh = vocabularies(spark, sf)
+    counts = R.new_candidates(fresh, terms).agg(F.count(F.lit(1)).alias("new")).join(fresh.agg(F.count(F.lit(1)).alias("total")), F.lit(True))
+    ratio = R.new_ratio("new", "total")
+    return counts.select("new", "total", F.round(ratio, 9).alias("ratio"), R.ratio_warning(ratio).alias("warning"))
+
+
 def delta(spark):
     """Prior terms and a model's changes to them."""
     prior = spark.createDataFrame(

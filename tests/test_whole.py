@@ -109,3 +109,13 @@ def test_parsers_get_whole_texts(spark, tmp_path):
     for ext, i in (("md", 1), ("typ", 2)):
         words = got[ext][i].prose.split()
         assert words[:30] == ["plain"] * 30 and words[30:32] == ["strong", "last"] and "hidden" not in words
+
+
+def test_snapshots_hold_every_document_to_its_end(spark, tmp_path):
+    spark.createDataFrame([(i, f"same filler first{i} middle last{i}") for i in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("same last1 FIRST5s new, last7",), ("middle another",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: q.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(r.term for r in run("new_candidates_whole")) == ["another", "new"]
+    stale = {"filler"} | {f"{w}{i}" for w in ("first", "last") for i in range(12)} - {"last1", "first5", "last7"}
+    assert {r.term for r in run("stale_terms_whole")} == stale
+    assert tuple(run("diff_ratio_whole")[0]) == (2, 7, round(2 / 7, 9), None)
