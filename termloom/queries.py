@@ -103,6 +103,18 @@ def context_snippets(spark, sf):
     return C.locate(K.tfidf(docs).orderBy(F.desc("score"), "term").limit(20), docs)
 
 
+@query(f"""
+WITH {TFIDF_SQL},
+h AS (SELECT CAST(doc_id AS VARCHAR) AS file, term, strpos(lower(text), lower(term)) AS hit, text FROM documents, k WHERE contains(lower(text), lower(term))),
+s AS (SELECT *, substring(text, greatest(hit - 60, 1), least(hit + length(term) + 59, length(text)) - greatest(hit - 60, 1) + 1) AS cut FROM h)
+SELECT term AS key, file, {CONTEXT_SQL} AS context FROM s
+""")
+def context_snippets_whole(spark, sf):
+    """Snippets of all terms of the top-k; context_snippets has the 20 of its SQL."""
+    docs = corpus(spark, sf)
+    return C.locate(K.tfidf(docs), docs)
+
+
 def _exclude(match: str, case: str) -> None:
     terms = {"contains": ["Blue", "#4"], "exact": ["Part#0000001", "part#0000002"], "regex": ["^part#0+[12]", "([", "9$"]}[match]
     loose = case == "insensitive"

@@ -119,3 +119,11 @@ def test_snapshots_hold_every_document_to_its_end(spark, tmp_path):
     stale = {"filler"} | {f"{w}{i}" for w in ("first", "last") for i in range(12)} - {"last1", "first5", "last7"}
     assert {r.term for r in run("stale_terms_whole")} == stale
     assert tuple(run("diff_ratio_whole")[0]) == (2, 7, round(2 / 7, 9), None)
+
+
+def test_every_top_term_has_snippets(spark):
+    top = {r.term for r in q.QUERIES["tfidf_topk"](spark, SF).collect()}
+    rows = q.QUERIES["context_snippets_whole"](spark, SF).collect()
+    got = {(r.key, r.file) for r in rows}
+    assert len(top) == 500 and got == {(t, f) for f, text in documents(spark).items() for t in top if t in text.lower()}
+    assert len({r.key for r in rows}) > 20
