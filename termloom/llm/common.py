@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master (one JVM, one disk) gets a folder of its own; on a cluster, whose
+    machines don't see each other's disks, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,12 +43,28 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The rows are computed once; what follows reads columnar files instead of repeating the work.
+    The rows are computed once; what follows reads columnar files instead of repeating the work. What is
+    read again and again within an operator goes by ``discard`` once nothing refers to it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/termloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote. Only for those that no result still to be computed reads."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path).getParent()
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def packed(df: DataFrame, name: str = "row") -> DataFrame:
+    """All columns as one struct beside which an operator may put columns of any name; ``select("row.*")`` undoes it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -63,15 +86,21 @@ def broadcast_value(spark: SparkSession, value, limit: int, size: int):
 
 
 def bounded_sample(rows: DataFrame, id_col: str, most: int, seed: int, *ties: str) -> DataFrame:
-    """The ``most`` rows of smallest seeded hash of their id (all rows, if they aren't more).
+    """The ``most`` rows of smallest seeded hash of their id (all rows, if they aren't more); ties by id, then ``ties``.
 
-    Rows far above the hash that is to be expected for the last one are left out before the top-k, so what
-    the top-k gathers from all tasks together is a little more than ``most`` rows, however many tasks there are.
+    Rows far above the hash that is to be expected for the last one are left out before the top-k, so that the
+    top-k doesn't gather ``most`` rows from every task. Where repeated ids leave too few rows below that hash,
+    it is raised until there are enough.
     """
     number = rows.count()
     u = F.xxhash64(F.lit(seed), id_col)
-    if number > 2 * most:
-        rows = rows.where(u.cast("double") / 2.0**64 + 0.5 < (most + 10 * most**0.5 + 10) / number)
+    share = (most + 10 * most**0.5 + 10) / max(number, 1)
+    while number > 2 * most and share < 1:
+        below = rows.where(u.cast("double") / 2.0**64 + 0.5 < share)
+        if below.count() >= most:
+            rows = below
+            break
+        share *= 4
     return rows.orderBy(u, id_col, *ties).limit(most)
 
 

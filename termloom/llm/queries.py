@@ -125,8 +125,9 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS comp
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, as counts, a digest of the rules' matches and all places."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.RULED]
+    more = [F.size("spans").cast("long").alias("n_spans"), F.size("extra").cast("long").alias("n_extra")]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), *more)
 
 
 QUERIES = {
