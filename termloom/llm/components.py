@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialise
+from termloom.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         step = _small_star(_large_star(edges)).where("a != b").distinct()
-        edges = materialise(step, "links")
+        last, edges = edges, materialise(step, "links")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if tuple(now) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            found = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+            discard(edges)
+            return found
         before = tuple(now)

@@ -6,13 +6,14 @@ under every chunk with every choice of one position left out, and all pairs with
 
 Texts of equal shingle sets are one class. In each bucket, members are first tried against one pivot;
 what that links becomes components. Only where a bucket still holds several components are the pairs
-between them compared, by signature, and those within R confirmed. A bucket that is too large for that
-is indexed again by its members' other chunks, which keeps the guarantee.
+between them compared, by signature, and those within R confirmed. A bucket's pairs are dealt to tasks as
+pairs of blocks of its members. A large bucket is first indexed again by its members' other chunks, which
+keeps the guarantee, where that leaves fewer pairs to compare.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import cut, map_arrow, materialise
+from termloom.llm.common import cut, discard, map_arrow, materialise
 from termloom.llm.components import components
 
 SHINGLE = 5
@@ -32,8 +33,11 @@ CHUNKS = K // CHUNK
 #: differs in 16 +- 3.5 positions, so a pair there is missed about twice in 10,000; the guarantee holds for
 #: R < 2 * (CHUNKS - 1), one level of indexing again included.
 R = 28
-#: Members up to which a bucket's pairs are compared in one task; larger buckets are indexed again.
-BUCKET = 2048
+#: Members up to which a bucket is dealt as it is; larger ones are indexed again where that saves work.
+BUCKET = 512
+#: Members of a block, at least. Blocks grow with the root of the bucket, so that a task's share stays small
+#: beside the bucket and a member isn't sent to very many tasks.
+BLOCK = 128
 #: Shingles of a bucket's sets that are held in memory at once, twice; of longer texts, parts of a bucket meet in turn.
 HELD = 2_000_000
 #: Most row ids that are broadcast to pick the texts to confirm.
@@ -124,34 +128,80 @@ def index(reps: DataFrame) -> DataFrame:
 
 
 def reindex(large: DataFrame) -> DataFrame:
-    """Members of large buckets under a second key, from the chunks that the first one doesn't look at."""
+    """Members (key, id, component, signature) of large buckets under a second key, from the chunks that the first one
+    doesn't look at: key, second, id, component. Of a pair within R, at least two chunks have at most one error."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = chunk_keys(stacked(batch.column("signature")))
         first = batch.column("key").to_numpy()
         keep = (np.arange(K) // CHUNK)[None, :] != (first >> 48)[:, None] // CHUNK
         row, at = np.nonzero(keep)
-        taken = batch.take(pa.array(row)).drop_columns(["second"])
-        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(keys[row, at])], [*taken.schema.names, "second"])
+        key, id_, component = (batch.column(c).take(pa.array(row)) for c in ("key", "id", "component"))
+        return pa.RecordBatch.from_arrays([key, pa.array(keys[row, at]), id_, component], ["key", "second", "id", "component"])
 
-    return map_arrow(large, large.select(*[c for c in large.columns if c != "second"], "second").schema, run)
+    kind = dict(large.dtypes)["id"]
+    return map_arrow(large.select("key", "id", "component", "signature"), f"key long, second long, id {kind}, component {kind}", run)
+
+
+def grouped_again(large: DataFrame, reps: DataFrame, held: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Large buckets' members by second keys, and the buckets that are better dealt as they are.
+
+    Both are unresolved members (key, second, id, component, n, signature, n_shingles). A bucket goes by second
+    keys where the squares of its groups come to less than its own.
+    """
+    again = held(reindex(large), "again")
+    groups = again.groupBy("key", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "second", "n")
+    groups = held(groups, "groups")
+    work = groups.groupBy("key").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    whole = large.groupBy("key").agg(F.first("n").alias("n")).join(work, "key").where(F.col("work") >= F.col("n") * F.col("n")).select("key")
+    whole = held(whole, "whole")
+    members = again.join(groups.join(whole, "key", "left_anti"), ["key", "second"]).join(reps, "id")
+    return members, large.join(whole, "key", "left_semi")
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Members (n: their bucket's size) with their blocks and tiles: blocks, block, tile; a row for each tile a member is in.
+
+    A tile is a pair of blocks, or one with itself: the first one's number times the number of blocks, plus the second's.
+    """
+    n = F.col("n").cast("double")
+    blocks = F.ceil(F.least(n / BLOCK, F.sqrt(n / BLOCK) * 4)).cast("long")
+    own = F.pmod(F.xxhash64(F.lit(17), "id"), blocks)
+    rows = members.withColumn("blocks", blocks).withColumn("block", own)
+    tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
+    return rows.withColumn("tile", F.explode(tile)).drop("n")
 
 
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(-1) <= R
 
 
-def bucket_pairs(rows: pa.Table) -> tuple[list[int], list[int]]:
-    """Pairs of a bucket's members of different components within R, as row numbers, in blocks of rows."""
+def tile_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's members of different components within R, as row numbers.
+
+    Of two blocks, only pairs across. A pair belongs to the first key that both share and, where its bucket was
+    indexed again, to the first second key that both share; elsewhere it is passed over. Compared in steps of rows.
+    """
     signed = stacked(rows.column("signature").combine_chunks())
+    keys = chunk_keys(signed)
     _, component = np.unique(np.array(rows.column("component").to_pylist()), return_inverse=True)
-    left, right = [], []
+    block = rows.column("block").to_numpy()
+    across = len(set(divmod(rows.column("tile")[0].as_py(), rows.column("blocks")[0].as_py()))) > 1
+    first, second = rows.column("key")[0].as_py() >> 48, rows.column("second")[0].as_py()
+    elsewhere = np.arange(K) // CHUNK != first // CHUNK
+    left, right = [np.array([], np.int64)], [np.array([], np.int64)]
     step = max(1, (4 << 20) // max(1, len(signed) * K))
     for i in range(0, len(signed), step):
         near = within(signed[i : i + step, None, :], signed[None, i:, :]) & (component[i : i + step, None] != component[None, i:])
+        if across:
+            near &= block[i : i + step, None] != block[None, i:]
         a, b = np.nonzero(np.triu(near, 1))
-        left.append(a + i), right.append(b + i)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], int), np.array([], int))
+        shared = keys[a + i] == keys[b + i]
+        own = shared.argmax(1) == first
+        if second >= 0:
+            own &= (shared & elsewhere).argmax(1) == second >> 48
+        left.append(a[own] + i), right.append(b[own] + i)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def grouped(rows: DataFrame, keys: list[str], schema: str, flush) -> DataFrame:
@@ -177,51 +227,48 @@ def grouped(rows: DataFrame, keys: list[str], schema: str, flush) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+TILE = ["key", "second", "tile"]
+MEETING = [*TILE, "part"]
+
+
 def meetings(members: DataFrame) -> DataFrame:
-    """Which members have to meet: key, second, tile, at, id, component, partners.
+    """Which members have to meet: key, second, tile, part, at, id, component, partners.
 
-    A row per member (key, second, id, component, signature, n_shingles) of a bucket that has a pair within R
-    across components; ``partners`` are places (``at``) within the tile. A pair belongs to the first key both
-    share only, where the bucket wasn't indexed again. A bucket's members fall into blocks of HELD shingles;
-    a tile brings two blocks together (or one to itself), so it is rare for a bucket to have several.
+    A row per member (of ``dealt``) of a tile that has a pair within R across components; ``partners`` are places
+    (``at``) within the part. Of long texts, a tile falls into parts of HELD shingles a side.
     """
     kind = dict(members.dtypes)["id"]
 
     def flush(rows: pa.Table) -> pa.RecordBatch | None:
         if rows.num_rows < 2:
             return None
-        left, right = bucket_pairs(rows)
-        key, second = rows.column("key")[0].as_py(), rows.column("second")[0].as_py()
-        if second == -1 and len(left):
-            keys = chunk_keys(stacked(rows.column("signature").combine_chunks()))
-            first = (keys[left] == keys[right]).argmax(1) == key >> 48
-            left, right = left[first], right[first]
+        left, right = tile_pairs(rows)
         if not len(left):
             return None
         used = np.unique(np.concatenate([left, right]))
-        block = np.zeros(rows.num_rows, np.int64)
-        block[used] = np.cumsum(rows.column("n_shingles").to_numpy()[used]) // HELD
-        tiles = block[left] << 20 | block[right]
+        piece = np.zeros(rows.num_rows, np.int64)
+        piece[used] = np.cumsum(rows.column("n_shingles").to_numpy()[used]) // HELD
+        parts = piece[left] << 20 | piece[right]
         out: list[tuple[int, int, int, list[int]]] = []
-        for tile in np.unique(tiles).tolist():
-            a, b = left[tiles == tile], right[tiles == tile]
+        for part in np.unique(parts).tolist():
+            a, b = left[parts == part], right[parts == part]
             inside = np.unique(np.concatenate([a, b]))
             at = {r: i for i, r in enumerate(inside.tolist())}
             partners: list[list[int]] = [[] for _ in at]
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 partners[at[x]].append(at[y])
-            out += [(tile, i, r, partners[i]) for r, i in at.items()]
-        tile, at, row, partners = zip(*out, strict=True)
+            out += [(part, i, r, partners[i]) for r, i in at.items()]
+        part, at, row, partners = zip(*out, strict=True)
         taken = rows.select(["id", "component"]).take(pa.array(row)).combine_chunks()
-        n = len(out)
-        columns = [pa.array([key] * n), pa.array([second] * n), pa.array(tile), pa.array(at, pa.int64()), taken["id"].combine_chunks(), taken["component"].combine_chunks(), pa.array(partners, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, ["key", "second", "tile", "at", "id", "component", "partners"])
+        same = [pa.array([rows.column(c)[0].as_py()] * len(out), pa.int64()) for c in TILE]
+        columns = [*same, pa.array(part, pa.int64()), pa.array(at, pa.int64()), taken["id"].combine_chunks(), taken["component"].combine_chunks(), pa.array(partners, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, [*MEETING, "at", "id", "component", "partners"])
 
-    return grouped(members, ["key", "second"], f"key long, second long, tile long, at long, id {kind}, component {kind}, partners array<int>", flush)
+    return grouped(members, TILE, f"key long, second long, tile long, part long, at long, id {kind}, component {kind}, partners array<int>", flush)
 
 
 def confirm_meetings(meeting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the members of each tile, one for each two components that are found to be one."""
+    """Links (a, b) among the members of each meeting, one for each two components that are found to be one."""
     kind = dict(meeting.dtypes)["id"]
 
     def flush(rows: pa.Table) -> pa.RecordBatch | None:
@@ -256,7 +303,7 @@ def confirm_meetings(meeting: DataFrame, sets: DataFrame, percent: int) -> DataF
         a, b = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, rows.schema.field("id").type), pa.array(b, rows.schema.field("id").type)], ["a", "b"])
 
-    return grouped(meeting.join(sets, "id"), ["key", "second", "tile"], f"a {kind}, b {kind}", flush)
+    return grouped(meeting.join(sets, "id"), MEETING, f"a {kind}, b {kind}", flush)
 
 
 def near_by_signature(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -311,26 +358,36 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature", "n_shingles").dropDuplicates(["id"])
     reps = materialise(reps, "reps")
 
+    done_with = [reps]
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        done_with.append(materialise(df, name))
+        return done_with[-1]
+
     keys = index(reps)
     buckets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot != other")
-    members = materialise(keys.join(buckets.select("key", "pivot"), "key"), "members")
+    members = held(keys.join(buckets.select("key", "pivot"), "key"), "members")
     stars = members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = materialise(near_by_signature(stars, reps), "stars")
-    involved = materialise(members.select("id").distinct(), "involved")
-    sets = materialise(sets_of(rows, involved).dropDuplicates(["id"]), "sets")
-    links = materialise(confirm(stars, sets, percent), "confirmed")
+    stars = held(near_by_signature(stars, reps), "stars")
+    involved = held(members.select("id").distinct(), "involved")
+    sets = held(sets_of(rows, involved).dropDuplicates(["id"]), "sets")
+    links = held(confirm(stars, sets, percent), "confirmed")
     found = components(links)
+    done_with.append(found)
 
     own = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    own = materialise(own, "labelled")
+    own = held(own, "labelled")
     open_ = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
     left = own.join(open_.select("key", "n"), "key").join(reps, "id").withColumn("second", F.lit(-1).cast("long"))
-    left = materialise(left, "unresolved")
-    meeting = meetings(left.where(F.col("n") <= BUCKET))
-    if not left.where(F.col("n") > BUCKET).isEmpty():
-        meeting = meeting.unionByName(meetings(reindex(left.where(F.col("n") > BUCKET))))
-    more = materialise(confirm_meetings(materialise(meeting, "meetings"), sets, percent), "confirmed")
+    left = held(left, "unresolved")
+    open_members = left.where(F.col("n") <= BUCKET)
+    if not (large := left.where(F.col("n") > BUCKET)).isEmpty():
+        for part in grouped_again(large, reps, held):
+            open_members = open_members.unionByName(part)
+    meeting = meetings(dealt(open_members))
+    more = held(confirm_meetings(held(meeting, "meetings"), sets, percent), "confirmed")
     found = components(links.unionByName(more).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    discard(*done_with)
 
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("class").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     done = signed.join(label, (F.col("class") == F.col("of")) & F.col("id").isNotNull(), "left")

@@ -5,8 +5,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import same
 from termloom.llm import near_dedup as nd
+from termloom.llm.common import materialise
 from termloom.llm.components import components
 from termloom.llm.queries import OP9_SQL, op9_near_dedup
 
@@ -84,11 +87,12 @@ def test_index_meets_all_pairs_within_the_threshold():
     assert nd.R < 2 * (nd.CHUNKS - 1)
 
 
-@pytest.mark.parametrize("bucket,held", [(2048, 2_000_000), (3, 2_000_000), (2048, 300)])
-def test_equals_brute_force(spark, monkeypatch, bucket, held):
+@pytest.mark.parametrize("bucket,held,block", [(512, 2_000_000, 128), (3, 2_000_000, 128), (512, 300, 4), (4, 300, 2), (10**9, 2_000_000, 3)])
+def test_equals_brute_force(spark, monkeypatch, bucket, held, block):
     monkeypatch.setattr(nd, "BUCKET", bucket)
     monkeypatch.setattr(nd, "HELD", held)
-    rng = random.Random(bucket + held)
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = random.Random(bucket + held + block)
     rows = [(0, None), (1, ""), (2, "a b"), (3, "A  B"), (4, "a b c"), (5, "word " * 30_000)]
     rows += family(rng, 40, 60, 3, 100) + family(rng, 40, 60, 6, 200) + family(rng, 30, 200, 12, 300)
     shared = " ".join(f"s{i}" for i in range(25))
@@ -98,6 +102,30 @@ def test_equals_brute_force(spark, monkeypatch, bucket, held):
     assert got(nd.near_dedup(df)) == brute(rows)
 
 
+def test_each_pair_within_the_threshold_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**16, nd.K).astype(np.uint16)
+    signed = []
+    for i in range(40):
+        other = base.copy()
+        other[rng.choice(nd.K, rng.integers(0, 16), replace=False)] = rng.integers(0, 2**16)
+        signed.append(other)
+    signed = np.stack(signed)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if (signed[i] != signed[j]).sum() <= nd.R}
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes()), 1) for i, x in enumerate(signed)], "id long, signature binary, n_shingles long")
+    members = nd.index(reps).withColumn("component", F.col("id")).join(reps, "id").withColumn("second", F.lit(-1).cast("long"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    whole = members.join(sizes, "key")
+    again, plain = nd.grouped_again(whole, reps, materialise)
+    for rows in (whole, again.unionByName(plain)):
+        met = []
+        for _, g in nd.meetings(nd.dealt(rows)).toPandas().groupby(nd.MEETING):
+            ids = dict(zip(g["at"], g["id"]))
+            met += [tuple(sorted((x, ids[y]))) for x, ys in zip(g["id"], g["partners"]) for y in ys]
+        assert sorted(met) == sorted(want) and want
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
