@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import pickle
+import re
 from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -30,6 +31,16 @@ PIECES_KEPT = 120_000
 LONGEST_KEPT = 64
 #: Most bytes of a pickled codec that is broadcast.
 CODEC_LIMIT = 64 << 20
+#: Patterns whose matches hold white space alone, or one space before what holds none, and look
+#: one character ahead at most. For these, a text may be cut before a space that stands between two characters
+#: that aren't white space: no match reaches over such a place. Other patterns get whole texts.
+SPACE_LED = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
+CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space beside white space (or what some library takes for it).
+CROWDED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -54,7 +65,7 @@ class Codec:
     """Encodes and decodes by a rank file's content and a pattern that splits text into pre-tokens."""
 
     def __init__(self, data: bytes, pattern: str):
-        self.pattern, self.ranks = pattern, read_ranks(data)
+        self.pattern, self.ranks, self.cuts = pattern, read_ranks(data), pattern in SPACE_LED
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
         self.token_of = {rank: token for token, rank in self.ranks.items()}
         self.pair = [[self.ranks.get(bytes((a, b))) for b in range(256)] for a in range(256)]
@@ -118,28 +129,20 @@ class Codec:
         return found
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers.
-
-        Where no two spaces stand together, cutting before each space changes no match of a pattern
-        that takes at most one leading space into a word; pieces between cuts are looked up whole.
-        """
-        if "  " in text:
+        """Ids of a text, as little-endian 32-bit integers. Pieces between cuts (see SPACE_LED) are looked up whole."""
+        if not self.cuts:
             return b"".join(map(self.of_token, self.split(text)))
-        first, *rest = text.split(" ")
-        out = [self.of_piece(first)]
-        add, pieces, of_piece = out.append, self.pieces, self.of_piece
-        for word in rest:
-            piece = " " + word
-            add(pieces.young.get(piece) or of_piece(piece))
-        return b"".join(out)
+        pieces, of_piece = self.pieces, self.of_piece
+        return b"".join([pieces.young.get(x) or of_piece(x) for x in CUT.split(text)])
 
     def encode_all(self, texts: pa.Array) -> pa.Array:
         """Ids of many texts: each distinct piece of the batch is encoded once, then taken for its places.
 
-        The first piece of a text has no space before it, so firsts are entries of their own.
+        Where no space stands beside white space, every space is a place to cut. The first piece of a text has no
+        space before it, so firsts are entries of their own.
         """
         texts = pc.fill_null(texts, "")
-        slow = pc.match_substring(texts, "  ")
+        slow = pc.match_substring_regex(texts, CROWDED) if self.cuts else pa.array(np.ones(len(texts), bool))
         if pc.any(slow).as_py():
             out: list = [None] * len(texts)
             flags = slow.to_numpy(zero_copy_only=False)

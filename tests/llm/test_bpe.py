@@ -48,6 +48,28 @@ def test_codec_equals_library(library):
         assert own.decode(got) == text.encode()
 
 
+OTHER_PATTERNS = [r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r"\p{L}+ \p{L}+|.|\s"]
+
+
+@pytest.mark.parametrize("pattern", [*bpe.SPACE_LED, *OTHER_PATTERNS])
+def test_any_vocabulary_and_pattern(pattern):
+    """White space of several bytes is in this vocabulary, so a cut in the wrong place gives other ids."""
+    import pyarrow as pa
+
+    more = [b"\n ", b" \n", b"  ", b" a", b"ab", b" ab", b"a b", b"\n\n", b"\t ", "\u00a0 ".encode(), " \u2003".encode(), b"\x1c ", b" \x1c", b"b a", b" .", b"\r\n"]
+    tokens = [bytes([i]) for i in range(256)] + more + [" \u00a0".encode()[:2]]
+    data = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(dict.fromkeys(tokens)))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.Codec(data, pattern)
+    rng = random.Random(len(pattern))
+    texts = ["a\n \nb", " ", "a ", " a", "a \u00a0b", "\x85 a\x85"] + ["".join(rng.choice("aabb1.   \n\n\t\r'é\u00a0\u2003\x85\x1c\x0b") for _ in range(rng.randrange(25))) for _ in range(4000)]
+    want = [b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(x)) for x in texts]
+    assert [own.encode(x) for x in texts] == want
+    assert own.encode_all(pa.array(texts)).to_pylist() == want
+    assert own.decode_all(own.encode_all(pa.array(texts))).to_pylist() == [x.encode() for x in texts]
+
+
 def test_caches_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "TOKENS_KEPT", 50)
     monkeypatch.setattr(bpe, "PIECES_KEPT", 50)
