@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dedup, pii, quality_model, quality_rules, training_order
-from termloom.llm.common import table
+from termloom.llm.common import scratch_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,6 +33,15 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
 
 
+def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of every document written as shards, and read back from the files alone."""
+    docs = table(spark, sf_dir, "documents")
+    ordered = training_order.training_order(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, key=b"epoch-0")
+    path = f"{scratch_dir(spark)}/termloom/{uuid.uuid4().hex}/shards"
+    training_order.write_shards(ordered, path)
+    return training_order.read_shards(spark, path).select("slot", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts and whether it stays."""
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -141,5 +152,6 @@ QUERIES = {
     "op8_quality_model": op8_quality_model,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "training_shards": training_shards,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_near_dedup": OP9_SQL}

@@ -8,7 +8,7 @@ import pytest
 
 from termloom.llm import training_order as to
 from termloom.llm.bpe import Codec
-from termloom.llm.queries import RANKS, op2_training_order
+from termloom.llm.queries import RANKS, op2_training_order, training_shards
 
 PATH = public_tokenizers.path(RANKS)
 
@@ -55,6 +55,37 @@ def test_shards_are_read_back_from_any_slot(spark, tmp_path):
             assert codec.decode(b"".join(own[k] for k in sorted(own))) == text.encode()
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_slots_do_not_depend_on_how_the_input_is_split(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(to, "NUMBERS_BROADCAST", broadcast)
+    rows = [(i, f"document {i} says " + "some words more " * (i % 9)) for i in range(90)] + [(7, "another of seven"), (None, "no id"), (None, "no id"), (91, None), (92, "")] + [(50, "hot row again and again")] * 60
+    docs = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, record string")
+    slots = []
+    for split in (docs.repartition(1), docs.repartition(7), docs.orderBy("text").coalesce(3)):
+        got = to.training_order(split, PATH, public_tokenizers.PATTERN, key=b"k", length=8, shard_records=50).collect()
+        assert sorted(r.slot for r in got) == list(range(len(got)))
+        slots.append({(r.slot, r.doc_id, r.seq_no, bytes(r.record)) for r in got})
+    assert slots[0] == slots[1] == slots[2]
+    other = to.training_order(docs, PATH, public_tokenizers.PATTERN, key=b"l", length=8, shard_records=50).collect()
+    assert {(r.slot, r.doc_id, r.seq_no, bytes(r.record)) for r in other} != slots[0]
+
+
+def test_reading_goes_on_from_any_slot(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"document {i} says " + "some words more " * (i % 9)) for i in range(90)], "doc_id long, text string")
+    ordered = to.training_order(docs, PATH, public_tokenizers.PATTERN, key=b"k", length=8, shard_records=50)
+    to.write_shards(ordered, f"{tmp_path}/shards")
+    want = sorted((r.slot, r.n_tokens, bytes(r.record)) for r in ordered.collect())
+    for start in (0, 49, 50, 137, 10**6):
+        got = to.read_shards(spark, f"{tmp_path}/shards", 8, 50, start=start).collect()
+        assert sorted((r.slot, r.n_tokens, bytes(r.record)) for r in got) == want[start:]
+
+
+def test_shards_hold_what_the_order_says(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {(r.slot, r.n_tokens, r.record_sha256) for r in op2_training_order(spark, sf).collect()}
+    assert {tuple(r) for r in training_shards(spark, sf).collect()} == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert to.training_order(docs, PATH, public_tokenizers.PATTERN, key=b"k").count() == 0
