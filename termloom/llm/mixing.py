@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import materialise, n_words
@@ -23,8 +23,9 @@ WEIGHTS = (3, 1, 2)
 PATTERNS_LIMIT = 100_000
 #: Most rows of the plan's tables that are broadcast; larger ones are joined by a shuffle.
 EDGES_BROADCAST = 500_000
-#: Documents of a pattern that are ranked together, about.
+#: Documents of a pattern that are ranked together, about, and buckets whose words are added up together.
 BUCKET_DOCS = 4096
+SPAN = 4096
 
 
 def targets(sizes: dict, weights: tuple[int, ...], total: float, most: float) -> dict:
@@ -111,12 +112,12 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int) -> list
 
 
 def fill_up(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which of a bucket's documents fill what is left: in seeded order each that still fits, then exchanges.
+    """Which of a bucket's units fill what is left: in seeded order each that still fits, then exchanges.
 
-    An exchange gives a taken document for one left out that is larger by at most the gap, the best of all
-    such pairs, while one exists; ties go to the earlier document.
+    An exchange gives a taken unit for one left out that is larger by at most the gap, the best of all such
+    pairs, while one exists; ties go to the earlier unit.
     """
-    rows = rows.sort_values(["u", "id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    rows = rows.sort_values(["u", "id", "mark"], kind="stable", na_position="last").reset_index(drop=True)
     sizes, gap = rows["size"].to_numpy(), int(rows["fill"].iloc[0]) if len(rows) else 0
     taken = np.zeros(len(rows), bool)
     for i, size in enumerate(sizes.tolist()):
@@ -133,7 +134,7 @@ def fill_up(rows: pd.DataFrame) -> pd.DataFrame:
             break
         taken[inside[best]], taken[outside[at[best]]] = False, True
         gap -= int(gain[best])
-    return rows.assign(extra=taken.astype("int64"))[["id", "pattern", "extra"]]
+    return rows.assign(extra=taken.astype("int64"))[["id", "mark", "pattern", "extra"]]
 
 
 def pattern_of(sources: Column) -> Column:
@@ -144,8 +145,9 @@ def pattern_of(sources: Column) -> Column:
 class Plan:
     """What the mix takes, in tables far smaller than the documents.
 
-    patterns: buckets and copies of each pattern. edges: per bucket, whether it gets one copy more (null:
-    in part). split: for documents of the buckets taken in part, whether they get one more.
+    A unit is what has one id and one text (``mark``, its hash), so rows that repeat both share a verdict and
+    count as one. patterns: buckets and copies of each pattern. edges: per bucket, whether its units get one
+    copy more (null: in part). split: for units of the buckets taken in part, whether they get one more.
     """
 
     def __init__(self, seed: int, patterns: DataFrame):
@@ -153,29 +155,41 @@ class Plan:
         self.edges: DataFrame
         self.split: DataFrame
 
-    def placed(self, rows: DataFrame, id_col: str, sources: Column) -> DataFrame:
-        """Add _copies, _rest, _u and _bucket to rows; documents of a pattern are ranked by a seeded hash of their id."""
-        own = self.patterns.select(*(F.col(x).alias(f"_{x}") for x in self.patterns.columns))
-        rows = rows.withColumn("_own", pattern_of(sources)).join(F.broadcast(own), F.col("_own").eqNullSafe(F.col("_pattern")))  # PATTERNS_LIMIT rows at most
-        rows = rows.withColumn("_u", F.xxhash64(F.lit(self.seed), id_col))
-        return rows.withColumn("_bucket", F.floor((F.col("_u").cast("double") / 2.0**64 + 0.5) * F.col("_buckets")).cast("long")).drop("_own", "_buckets")
-
-    def copies(self, rows: DataFrame, id_col: str, sources: Column) -> DataFrame:
-        """Add ``copies`` to rows, whatever their other columns; the rows themselves aren't shuffled while the tables are small."""
-        edges = self.edges.select(F.col("pattern").alias("_p"), F.col("bucket").alias("_b"), F.col("more").alias("_more"))
-        split = self.split.select(F.col("id").alias("_id"), F.col("pattern").alias("_q"), F.col("extra").alias("_extra"))
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Add base (copies of all), rest, u and bucket to rows with id, mark and pattern; units are dealt by a seeded hash."""
+        own = self.patterns.select(F.col("pattern").alias("of"), F.col("copies").alias("base"), "rest", "buckets")
+        rows = rows.join(F.broadcast(own), F.col("pattern").eqNullSafe(F.col("of"))).drop("of")  # PATTERNS_LIMIT rows at most
+        rows = rows.withColumn("u", F.xxhash64(F.lit(self.seed), "id", "mark"))
+        return rows.withColumn("bucket", F.floor((F.col("u").cast("double") / 2.0**64 + 0.5) * F.col("buckets")).cast("long")).drop("buckets")
+
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """Add ``copies`` to rows with id, mark and pattern; the rows aren't shuffled while the plan's tables are small."""
+        edges = self.edges.select(F.col("pattern").alias("edge_pattern"), F.col("bucket").alias("edge_bucket"), "more")
+        split = self.split.select(F.col("id").alias("split_id"), F.col("mark").alias("split_mark"), F.col("pattern").alias("split_pattern"), "extra")
         edges, split = (F.broadcast(x) if x.count() <= EDGES_BROADCAST else x for x in (edges, split))
-        found = self.placed(rows, id_col, sources).join(edges, F.col("_pattern").eqNullSafe(F.col("_p")) & (F.col("_bucket") == F.col("_b")), "left")
-        found = found.join(split, F.col("_more").isNull() & (F.col(id_col) == F.col("_id")) & F.col("_pattern").eqNullSafe(F.col("_q")), "left")
-        made = F.col("_copies") + F.coalesce("_more", "_extra", F.lit(0))
-        return found.withColumn("copies", made).drop("_copies", "_rest", "_u", "_bucket", "_pattern", "_p", "_b", "_more", "_id", "_q", "_extra")
+        found = self.placed(rows).join(edges, F.col("pattern").eqNullSafe(F.col("edge_pattern")) & (F.col("bucket") == F.col("edge_bucket")), "left")
+        same = F.col("id").eqNullSafe(F.col("split_id")) & (F.col("mark") == F.col("split_mark")) & F.col("pattern").eqNullSafe(F.col("split_pattern"))
+        found = found.join(split, F.col("more").isNull() & same, "left")
+        return found.select(*rows.columns, (F.col("base") + F.coalesce("more", "extra", F.lit(0))).alias("copies"))
+
+
+def running(sums: DataFrame) -> DataFrame:
+    """Add ``before``: the words of all earlier buckets of a pattern. In two levels, so that no task holds all buckets."""
+    wide = sums.withColumn("span", F.floor(F.col("bucket") / SPAN))
+    spans = wide.groupBy("pattern", "span").agg(F.sum("words").alias("words"))
+    spans = spans.withColumn("start", F.sum("words").over(Window.partitionBy("pattern").orderBy("span")) - F.col("words"))
+    spans = spans.select(F.col("pattern").alias("of"), F.col("span").alias("at"), "start")
+    inside = F.sum("words").over(Window.partitionBy("pattern", "span").orderBy("bucket")) - F.col("words")
+    found = wide.withColumn("inside", inside).join(spans, F.col("pattern").eqNullSafe(F.col("of")) & (F.col("span") == F.col("at")))
+    return found.select(*sums.columns, (F.col("start") + F.col("inside")).alias("before"))
 
 
 def plan_mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 17) -> tuple[Plan, DataFrame, DataFrame]:
-    """A plan, the documents' sizes (id, names, size) and the sources (source, source_size, target)."""
+    """A plan, the documents' sizes (id, mark, names, pattern, size) and the sources (source, source_size, target)."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    rows = materialise(docs.select(F.col(id_col).alias("id"), sources.alias("names"), n_words(F.col(text_col)).alias("size")), "sizes")
-    groups = rows.groupBy(pattern_of(F.col("names")).alias("pattern")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), sources.alias("names"), n_words(F.col(text_col)).alias("size"))
+    rows = materialise(rows.withColumn("pattern", pattern_of(F.col("names"))), "sizes")
+    groups = rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     groups = materialise(groups, "patterns")
     if (found := groups.count()) > PATTERNS_LIMIT:
         raise ValueError(f"{found} patterns of sources; the driver routes at most {PATTERNS_LIMIT}")
@@ -189,16 +203,16 @@ def plan_mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_c
 
     each = [(r.pattern, *(divmod(w, r.words) if r.words else (0, 0)), -(-r.docs // BUCKET_DOCS)) for (r, _), w in zip(named, taken, strict=True)]
     plan = Plan(seed, spark.createDataFrame(each, "pattern string, copies long, rest long, buckets long"))
-    at = plan.placed(rows, "id", F.col("names"))
-    sums = at.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("words"), F.first("_rest").alias("rest"))
-    fill = F.col("rest") - F.expr("sum(words) over (partition by _pattern order by _bucket)") + F.col("words")
-    sums = sums.withColumn("fill", fill)
+    at = plan.placed(rows)
+    sums = running(at.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")))
+    sums = sums.withColumn("fill", F.col("rest") - F.col("before"))
     more = F.when(F.col("fill") >= F.col("words"), 1).when(F.col("fill") <= 0, 0).cast("long")
-    plan.edges = materialise(sums.select(F.col("_pattern").alias("pattern"), F.col("_bucket").alias("bucket"), "fill", more.alias("more")), "edges")
-    parts = F.broadcast(plan.edges.where("more is null").select(F.col("pattern").alias("_p"), F.col("bucket").alias("_b"), "fill"))  # a row per pattern at most
-    inside = at.join(parts, F.col("_pattern").eqNullSafe(F.col("_p")) & (F.col("_bucket") == F.col("_b"))).select("id", F.col("_pattern").alias("pattern"), "size", F.col("_u").alias("u"), "fill")
-    split = inside.groupBy("pattern").applyInPandas(fill_up, f"id {kind}, pattern string, extra long")
-    plan.split = materialise(split.groupBy("id", "pattern").agg(F.min("extra").alias("extra")), "split")
+    plan.edges = materialise(sums.select("pattern", "bucket", "fill", more.alias("more")), "edges")
+    parts = F.broadcast(plan.edges.where("more is null").select(F.col("pattern").alias("of"), F.col("bucket").alias("part"), "fill"))  # a row per pattern at most
+    inside = at.join(parts, F.col("pattern").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("part")))
+    units = inside.groupBy("id", "mark", "pattern").agg(F.sum("size").alias("size"), F.first("u").alias("u"), F.first("fill").alias("fill"))
+    split = units.groupBy("pattern").applyInPandas(fill_up, f"id {kind}, mark long, pattern string, extra long")
+    plan.split = materialise(split, "split")
     of_source = spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "source string, source_size long, target double")
     return plan, rows, of_source
 
@@ -209,17 +223,19 @@ def mix(docs: DataFrame, sources: Column, **settings) -> tuple[DataFrame, DataFr
     ``sources`` gives a document's sources as an array of strings; a null in it is a source, the last. The
     first result has a row per row of ``docs``: id, names (its sources), size (words), copies. The second
     has source, source_size, target. A document is taken 0 to ``repeats`` times; a source's words miss what
-    was routed by less than the smallest document that didn't fit. Runs agree: the order is a hash of seed
-    and id. Null texts have no words; a table without words takes nothing; documents without sources aren't
-    taken. Ids should be unique; repeated rows share a verdict. Other columns are neither read nor returned.
+    was routed by less than the smallest document that didn't fit. Runs agree: the order is a hash of seed,
+    id and text. Null texts have no words; a table without words takes nothing; documents without sources
+    aren't taken. Rows that repeat id and text are one unit: they share a verdict and their sizes add up.
+    Other columns are neither read nor returned.
     """
     plan, rows, of_source = plan_mix(docs, sources, **settings)
-    return plan.copies(rows, "id", F.col("names")).withColumnRenamed("id", settings.get("id_col", "doc_id")), of_source
+    return plan.copies(rows).select("id", "names", "size", "copies").withColumnRenamed("id", settings.get("id_col", "doc_id")), of_source
 
 
-def mixed_documents(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs``, with their columns, each as often as the mix takes it."""
-    plan, _, _ = plan_mix(docs, sources, id_col=id_col, **settings)
-    taken = plan.copies(docs.withColumnRenamed("copies", "_own_copies") if "copies" in docs.columns else docs, id_col, sources)
-    taken = taken.where("copies > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "_turn")
-    return taken.withColumnsRenamed({"_own_copies": "copies"}).select(*docs.columns)
+def mixed_documents(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, with their columns whatever their names, each as often as the mix takes it."""
+    plan, _, _ = plan_mix(docs, sources, id_col=id_col, text_col=text_col, **settings)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), pattern_of(sources).alias("pattern"))
+    taken = plan.copies(rows).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
