@@ -10,22 +10,24 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import bounded_sample, broadcast_value, map_arrow, materialise, with_fields
+from termloom.llm.common import broadcast_value, map_arrow, materialise, with_fields
 
-#: Labelled documents that the model is learned from at most: those of the smallest seeded hash.
-SAMPLE_DOCS = 20_000
-#: Words, and n-grams of each size, that the model keeps at most: those seen most often.
-WORDS_KEPT = 40_000
-GRAMS_KEPT = 15_000
-#: Languages that the model keeps at most: those of most documents in the sample.
-LANGUAGES_KEPT = 200
+#: Labelled documents of each language that the model is learned from at most: those of the smallest seeded hash.
+SAMPLE_DOCS = 5_000
+#: Words, and n-grams of each size, that the model keeps of each language, about: those seen most often there.
+#: A word beyond is scored by its n-grams, an n-gram beyond by shorter ones, as unseen ones are.
+WORDS_KEPT = 20_000
+GRAMS_KEPT = 10_000
 SIZES = (4, 3, 2, 1)
 #: What each step back to shorter n-grams leaves of a word's say.
 BACKOFF = 0.6
+#: Most bytes of a model, which is collected and broadcast; a larger one is an error before it is collected.
 MODEL_LIMIT = 256 << 20
+#: Most ids of sampled rows that are broadcast.
+IDS_BROADCAST = 1_000_000
 UNKNOWN = "und"
 NO_LETTERS = r"[^\p{L}]+"
 
@@ -47,7 +49,7 @@ class Model:
         for size, gram, lang, n in counts:
             tables.setdefault(size, {}).setdefault(gram, np.zeros(len(languages)))[at[lang]] += n
         self.tables = {size: self._scored(table) for size, table in tables.items()}
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, np.ndarray] = {}  # bounded in _look
 
     @staticmethod
     def _scored(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -56,100 +58,168 @@ class Model:
         return dict(zip(table, (share - share.mean(1, keepdims=True)).astype(np.float32), strict=True))
 
     def word(self, word: str) -> np.ndarray:
+        return self._look(word)[:-1]
+
+    def _look(self, word: str) -> np.ndarray:
+        """A word's scores, and how far the model has met it: 1, or the share of its longest n-grams that are known."""
         if (found := self.seen.get(word)) is None:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            found = self.seen[word] = self._word(word)
+            found = self.seen[word] = self._scores(word)
         return found
 
-    def _word(self, word: str) -> np.ndarray:
+    def _scores(self, word: str) -> np.ndarray:
         if (known := self.tables.get(0, {}).get(word)) is not None:
-            return known
-        weight = BACKOFF
+            return np.append(known, np.float32(1))
+        weight, met = BACKOFF, None
         for size in SIZES:
-            table = self.tables.get(size, {})
-            if hits := [table[g] for g in grams(word, size) if g in table]:
-                return weight * np.mean(hits, axis=0)
+            table, own = self.tables.get(size, {}), grams(word, size)
+            hits = [table[g] for g in own if g in table]
+            if met is None and own:
+                met = len(hits) / len(own)
+            if hits:
+                return np.append(weight * np.mean(hits, axis=0), np.float32(met))
             weight *= BACKOFF
-        return np.zeros(len(self.languages), np.float32)
+        return np.zeros(len(self.languages) + 1, np.float32)
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        """Language and score of each text: the distinct words of the batch are scored once."""
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and familiarity of each text: the distinct words of the batch are scored once."""
         low = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
         split = pc.split_pattern_regex(low, NO_LETTERS)
         starts = split.offsets.to_numpy()
         flat = split.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
-        vectors = np.array([self.word(w) if w else np.zeros(len(self.languages), np.float32) for w in words], np.float32).reshape(len(words), len(self.languages))
+        width = len(self.languages) + 1
+        vectors = np.array([self._look(w) if w else np.zeros(width, np.float32) for w in words], np.float32).reshape(len(words), width)
         letters = np.array([bool(w) for w in words], np.int64)
         at = flat.indices.to_numpy()
-        sums = np.zeros((len(texts) + 1, len(self.languages)))
+        sums = np.zeros((len(texts), width))
         counts = np.zeros(len(texts), np.int64)
         for i, (a, b) in enumerate(zip(starts[:-1] - starts[0], starts[1:] - starts[0], strict=True)):
             sums[i] = vectors[at[a:b]].sum(0, dtype=np.float64)
             counts[i] = letters[at[a:b]].sum()
-        names, scores = [], []
-        for total, n in zip(sums, counts.tolist(), strict=False):
+        names, scores, familiar = [], [], []
+        for (*total, met), n in zip(sums, counts.tolist(), strict=True):
             if not n or not self.languages:
-                names.append(UNKNOWN), scores.append(0.0)
+                names.append(UNKNOWN), scores.append(0.0), familiar.append(0.0)
                 continue
+            total = np.array(total)
             best = int(total.argmax())
             # a word's say shrinks with their number, as neighbouring words aren't independent
             p = np.exp((total - total[best]) / math.sqrt(n))
             names.append(self.languages[best]), scores.append(float(1 / p.sum()))
-        return names, scores
+            familiar.append(min(1.0, float(met) / n + 1.5 / math.sqrt(n)))
+        return names, scores, familiar
+
+
+def sample_by_language(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """Of each language the ``most`` rows (id, lang, text) of smallest seeded hash; of rows that repeat an id, the smallest text.
+
+    Ids far above the hash that is to be expected for a language's last one are left out before they are ranked,
+    so that no task holds a language.
+    """
+    ids = rows.select("id", "lang").distinct().withColumn("u", F.xxhash64(F.lit(seed), "id"))
+    numbers = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("number")).withColumnRenamed("lang", "of")
+    below = (F.col("u").cast("double") / 2.0**64 + 0.5) * F.col("number") < most + 10 * most**0.5 + 10
+    close = ids.join(numbers, F.col("lang") == F.col("of")).where(below)
+    ranked = close.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id")))
+    picked = materialise(ranked.where(F.col("n") <= most).select("id", "lang"), "picked")
+    chosen = F.broadcast(picked) if picked.count() <= IDS_BROADCAST else picked
+    return materialise(rows.join(chosen, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text")), "sample")
+
+
+def most_frequent(counts: DataFrame, most: Column) -> DataFrame:
+    """Of the rows (size, gram, lang, n) the most frequent of each size and language, about ``most``.
+
+    The count to be reached follows from how many have which count. Of those that just reach it, a share is
+    chosen by hash, so nothing is sorted but counts of counts.
+    """
+    of_counts = counts.groupBy("size", "lang", "n").agg(F.count(F.lit(1)).alias("equals"))
+    above = F.sum("equals").over(Window.partitionBy("size", "lang").orderBy(F.desc("n"))) - F.col("equals")
+    share = (most - above) / F.col("equals")
+    shares = of_counts.select(F.col("size").alias("of_size"), F.col("lang").alias("of_lang"), F.col("n").alias("of_n"), share.alias("share")).where("share > 0")
+    same = (F.col("size") == F.col("of_size")) & (F.col("lang") == F.col("of_lang")) & (F.col("n") == F.col("of_n"))
+    u = F.xxhash64(F.lit(1), "gram").cast("double") / 2.0**64 + 0.5
+    return counts.join(shares, same).where(u < F.col("share")).select(*counts.columns)
+
+
+def learning_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 6) -> Model:
-    """A model of the labelled rows (null language or text: left out), from at most SAMPLE_DOCS documents.
+    """A model of the labelled rows (null language or text: left out), from at most SAMPLE_DOCS documents a language.
 
-    Counts are summed by Spark; the driver gets the kept words and n-grams only.
+    Rows that repeat an id within a language count once. Counts are summed by Spark; the driver gets the words
+    and n-grams that are kept, after their number was checked.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    picked = bounded_sample(rows.select("id"), "id", SAMPLE_DOCS, seed)
-    sample = materialise(rows.join(F.broadcast(picked), "id", "left_semi"), "sample")
-    languages = sorted(r.lang for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_KEPT).collect())
+    spark = labelled.sparkSession
+    sample = sample_by_language(learning_rows(labelled, id_col, text_col, lang_col), SAMPLE_DOCS, seed)
+    spread = spark.sparkContext.defaultParallelism
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: Counter = Counter()
+    def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: Counter = Counter()
         splits = pc.split_pattern_regex(pc.utf8_lower(batch.column("text")), NO_LETTERS).to_pylist()
         for lang, split in zip(batch.column("lang").to_pylist(), splits, strict=True):
             words.update((w, lang) for w in split if w)
-        for (word, lang), n in words.items():
-            found[0, word, lang] += n
+        keys = list(zip(*words, strict=True)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(words.values(), pa.int64())], ["gram", "lang", "n"])
+
+    def count_grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: Counter = Counter()
+        for word, lang, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "lang", "n")), strict=True):
             for size in SIZES:
                 for gram in grams(word, size):
                     found[size, gram, lang] += n
         keys = list(zip(*found, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.string()), pa.array(found.values(), pa.int64())], ["size", "gram", "lang", "n"])
 
-    counts = map_arrow(sample, "size int, gram string, lang string, n long", count).groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
-    counts = materialise(counts.where(F.col("lang").isin(languages)), "counts")
-    kept = None
-    for size in (0, *SIZES):
-        totals = counts.where(F.col("size") == size).groupBy("size", "gram").agg(F.sum("n").alias("total"))
-        top = totals.orderBy(F.desc("total"), "gram").limit(GRAMS_KEPT if size else WORDS_KEPT)
-        kept = top if kept is None else kept.unionByName(top)
-    found = counts.join(F.broadcast(kept.select("size", "gram")), ["size", "gram"], "left_semi")
+    words = map_arrow(sample.repartition(spread), "gram string, lang string, n long", count_words).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    words = materialise(words, "words")
+    counted = map_arrow(words.repartition(spread), "size int, gram string, lang string, n long", count_grams).groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = materialise(counted.unionByName(words.select(F.lit(0).alias("size"), "gram", "lang", "n")), "counts")
+    languages = sorted(r.lang for r in sample.select("lang").distinct().limit(MODEL_LIMIT // 1000).collect())
+    kept = materialise(most_frequent(counts, F.when(F.col("size") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT)), "kept")
+    check_size(kept.select("size", "gram").distinct().count(), len(languages))
+    # a word kept for one language counts in all
+    found = counts.join(F.broadcast(kept.select("size", "gram").distinct()), ["size", "gram"], "left_semi")
     return Model(sorted((r.size, r.gram, r.lang, r.n) for r in found.select("size", "gram", "lang", "n").collect()), languages)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def check_size(entries: int, languages: int) -> int:
+    """The bytes of a model of so many words and n-grams, about; beyond MODEL_LIMIT, an error."""
+    if (size := entries * (200 + 4 * languages)) > MODEL_LIMIT:
+        raise ValueError(f"a model of {entries} words and n-grams in {languages} languages takes {size} bytes; the limit is {MODEL_LIMIT}")
+    return size
+
+
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str = "lang_pred", score: str = "score", familiar: str | None = None) -> DataFrame:
     """Add the predicted language and its score (0 to 1); columns of these names are replaced.
 
     A text that is null or has no letter, or any text where nothing was learned, gets ``und`` and score 0.
-    Of languages that tie, the first by name wins. Only the text is looked at.
+    Of languages that tie, the first by name wins. Repeated rows are scored each, and alike. Only the text is
+    looked at. ``familiar`` names a further column: how much of the text the model has met, 0 to 1, plus three
+    standard errors, so that little is said against a short text.
     """
-    kept = docs.drop(pred, score)
-    size = sum(len(t) for t in model.tables.values()) * (200 + 4 * len(model.languages))
-    own = broadcast_value(docs.sparkSession, model, MODEL_LIMIT, size)
+    names = [pred, score, *([familiar] if familiar else [])]
+    kept = docs.drop(*names)
+    own = broadcast_value(docs.sparkSession, model, MODEL_LIMIT, check_size(sum(map(len, model.tables.values())), len(model.languages)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = own.value.predict(batch.column(text_col))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
+        columns = [pa.array(x, t) for x, t in zip(own.value.predict(batch.column(text_col)), (pa.string(), pa.float64(), pa.float64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns[: len(names)]], [*batch.schema.names, *names])
+
+    return map_arrow(kept, with_fields(kept, f"`{pred}` string, " + ", ".join(f"`{x}` double" for x in names[1:])), run)
+
 
-    return map_arrow(kept, with_fields(kept, f"{pred} string, {score} double"), run)
+def least_familiar(labelled: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 6) -> float:
+    """How familiar a text of a learned language is at least: four fifths of what all but a thousandth of ``labelled``
+    reach. These should be rows the model hasn't learned from; SAMPLE_DOCS a language are looked at. 0 without any."""
+    rows = learning_rows(labelled, id_col, text_col, lang_col).where(F.col("lang").isin(model.languages) & F.col("text").rlike(r"\p{L}"))
+    found = predict(sample_by_language(rows, SAMPLE_DOCS, seed), model, familiar="familiar")
+    least = found.agg(F.percentile_approx("familiar", 0.001, 10_000)).first()[0]
+    return 0.8 * least if least is not None else 0.0
 
 
 def held_out(id_col: str, of: int, remainder: int) -> Column:
