@@ -69,7 +69,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows of one id share a verdict, so ids should be unique."""
-    lost = materialise(exact_dedup(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col).alias("lost_id")), "lost")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Ids should be unique: rows of one id share a verdict, and go only where none of them stays. Rows of null id stay.
+    """
+    verdicts = exact_dedup(docs, id_col=id_col, text_col=text_col).groupBy(F.col(id_col).alias("lost_id")).agg(F.max("kept").alias("kept"))
+    lost = materialise(verdicts.where("not kept").select("lost_id"), "lost")
     lost = F.broadcast(lost) if lost.count() <= IDS_BROADCAST else lost
     return docs.join(lost, docs[id_col] == lost["lost_id"], "left_anti")
