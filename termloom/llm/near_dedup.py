@@ -4,11 +4,12 @@ A signature has K positions of b = 16 bits. It is cut into chunks of 4; two sign
 most R positions must, by pigeonhole, have a chunk with at most one error. So each signature is indexed
 under every chunk with every choice of one position left out, and all pairs within R meet in some bucket.
 
-Texts of equal shingle sets are one class. In each bucket, members are first tried against one pivot;
-what that links becomes components. Only where a bucket still holds several components are the pairs
-between them compared, by signature, and those within R confirmed. A bucket's pairs are dealt to tasks as
-pairs of blocks of its members. A large bucket is first indexed again by its members' other chunks, which
-keeps the guarantee, where that leaves fewer pairs to compare.
+Texts of equal shingle sets are one class. In each bucket, members are first tried against a pivot, then in
+rounds against a few more while that resolves buckets; what is linked becomes components. Only where a
+bucket still holds several components are the pairs between them compared, by signature, and those within
+R confirmed. These pairs are dealt to tasks as pairs of blocks: the bucket's largest component meets the
+others only. A large bucket is first indexed again by its members' other chunks, which keeps the
+guarantee, where that leaves fewer pairs to compare.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import cut, discard, map_arrow, materialise
@@ -40,6 +41,9 @@ BUCKET = 512
 BLOCK = 128
 #: Shingles of a bucket's sets that are held in memory at once, twice; of longer texts, parts of a bucket meet in turn.
 HELD = 2_000_000
+#: Pivots that a round tries in each bucket; rounds go on while one leaves at most ROUND_LEAVES of the members.
+PIVOTS = 4
+ROUND_LEAVES = 0.5
 #: Most row ids that are broadcast to pick the texts to confirm.
 IDS_BROADCAST = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(9))
@@ -143,33 +147,58 @@ def reindex(large: DataFrame) -> DataFrame:
     return map_arrow(large.select("key", "id", "component", "signature"), f"key long, second long, id {kind}, component {kind}", run)
 
 
+def unresolved(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of members (keys, id, component) that hold several components: keys, n, main, others.
+
+    ``main`` is the component with most members (the larger of equals), ``others`` the number of members beside it.
+    """
+    sizes = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
+    groups = sizes.groupBy(*keys).agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("most"))
+    return groups.select(*keys, "n", F.col("most.component").alias("main"), (F.col("n") - F.col("most.size")).alias("others")).where("others > 0")
+
+
 def grouped_again(large: DataFrame, reps: DataFrame, held: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Large buckets' members by second keys, and the buckets that are better dealt as they are.
 
-    Both are unresolved members (key, second, id, component, n, signature, n_shingles). A bucket goes by second
-    keys where the squares of its groups come to less than its own.
+    Both are unresolved members (key, second, id, component, n, main, others, signature, n_shingles). A bucket goes
+    by second keys where the groups' pairs to compare come to less than its own. ``held`` writes a table that isn't
+    needed for long.
     """
     again = held(reindex(large), "again")
-    groups = again.groupBy("key", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "second", "n")
-    groups = held(groups, "groups")
-    work = groups.groupBy("key").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
-    whole = large.groupBy("key").agg(F.first("n").alias("n")).join(work, "key").where(F.col("work") >= F.col("n") * F.col("n")).select("key")
+    groups = held(unresolved(again, ["key", "second"]), "groups")
+    work = groups.groupBy("key").agg(F.sum(F.col("n") * F.col("others")).alias("work"))
+    whole = large.groupBy("key").agg(F.first(F.col("n") * F.col("others")).alias("own")).join(work, "key").where("work >= own").select("key")
     whole = held(whole, "whole")
     members = again.join(groups.join(whole, "key", "left_anti"), ["key", "second"]).join(reps, "id")
     return members, large.join(whole, "key", "left_semi")
 
 
+def blocks_of(n: Column) -> Column:
+    """Blocks that so many members are dealt to: of BLOCK members, and more as the members' root grows."""
+    part = n.cast("double") / BLOCK
+    return F.greatest(F.ceil(F.least(part, F.sqrt(part) * 4)), F.lit(1)).cast("long")
+
+
 def dealt(members: DataFrame) -> DataFrame:
-    """Members (n: their bucket's size) with their blocks and tiles: blocks, block, tile; a row for each tile a member is in.
+    """Unresolved members with their blocks and tiles: block, tile, across; a row for each tile that a member is in.
 
-    A tile is a pair of blocks, or one with itself: the first one's number times the number of blocks, plus the second's.
+    A tile is a pair of blocks of ``others``, one of them with itself (not across), or one with a block of ``main``,
+    whose members are linked already. Where there are few others, a member of main is in few tiles.
     """
-    n = F.col("n").cast("double")
-    blocks = F.ceil(F.least(n / BLOCK, F.sqrt(n / BLOCK) * 4)).cast("long")
-    own = F.pmod(F.xxhash64(F.lit(17), "id"), blocks)
-    rows = members.withColumn("blocks", blocks).withColumn("block", own)
-    tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
-    return rows.withColumn("tile", F.explode(tile)).drop("n")
+    few, many = blocks_of(F.col("others")), blocks_of(F.col("n") - F.col("others"))
+    rows = members.withColumn("few", few).withColumn("many", many).withColumn("inside", F.col("component") == F.col("main"))
+    at = F.pmod(F.xxhash64(F.lit(17), "id"), F.when(F.col("inside"), F.col("many")).otherwise(F.col("few")))
+    rows = rows.withColumn("at", at).withColumn("block", F.when(F.col("inside"), F.col("few") + F.col("at")).otherwise(F.col("at")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    tile = lambda number, across: F.struct(number.cast("long").alias("tile"), across.alias("across"))
+    square = F.col("few") * F.col("few")
+    main_tiles = F.transform(upto("few"), lambda i: tile(square + i * F.col("many") + F.col("at"), F.lit(True)))
+    other_tiles = F.concat(
+        F.transform(upto("few"), lambda j: tile(F.least("at", j) * F.col("few") + F.greatest("at", j), F.col("at") != j)),
+        F.transform(upto("many"), lambda k: tile(square + F.col("at") * F.col("many") + k, F.lit(True))),
+    )
+    rows = rows.withColumn("t", F.explode(F.when(F.col("inside"), main_tiles).otherwise(other_tiles)))
+    return rows.select("key", "second", "id", "component", "signature", "n_shingles", "block", "t.tile", "t.across")
 
 
 def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,7 +215,7 @@ def tile_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = chunk_keys(signed)
     _, component = np.unique(np.array(rows.column("component").to_pylist()), return_inverse=True)
     block = rows.column("block").to_numpy()
-    across = len(set(divmod(rows.column("tile")[0].as_py(), rows.column("blocks")[0].as_py()))) > 1
+    across = rows.column("across")[0].as_py()
     first, second = rows.column("key")[0].as_py() >> 48, rows.column("second")[0].as_py()
     elsewhere = np.arange(K) // CHUNK != first // CHUNK
     left, right = [np.array([], np.int64)], [np.array([], np.int64)]
@@ -306,6 +335,14 @@ def confirm_meetings(meeting: DataFrame, sets: DataFrame, percent: int) -> DataF
     return grouped(meeting.join(sets, "id"), MEETING, f"a {kind}, b {kind}", flush)
 
 
+def pivots(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members with PIVOTS members of their bucket that are of another component; other pivots each turn."""
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * turn + i), "id").alias("u"), "id", "component")) for i in range(PIVOTS)]
+    by_bucket = members.groupBy("key").agg(F.array(*chosen).alias("chosen"))
+    pairs = members.join(by_bucket, "key").select("id", "component", F.explode("chosen").alias("p")).where("component != p.component")
+    return pairs.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
+
+
 def near_by_signature(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Of pairs (a, b), those within R."""
     side = [reps.select(F.col("id").alias(x), F.col("signature").alias(f"signature_{x}")) for x in "ab"]
@@ -375,11 +412,23 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = components(links)
     done_with.append(found)
 
-    own = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    own = held(own, "labelled")
-    open_ = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-    left = own.join(open_.select("key", "n"), "key").join(reps, "id").withColumn("second", F.lit(-1).cast("long"))
-    left = held(left, "unresolved")
+    def labelled(rows: DataFrame) -> DataFrame:
+        own = rows.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        own = held(own, "labelled")
+        return held(own.join(unresolved(own, ["key"]), "key"), "open")
+
+    left, turn = labelled(members), 0
+    before = left.count()
+    while before:
+        links = held(links.unionByName(confirm(near_by_signature(held(pivots(left, turn), "pivots"), reps), sets, percent)).distinct(), "confirmed")
+        found = components(links)
+        done_with.append(found)
+        left, turn = labelled(left.select("key", "id")), turn + 1
+        now = left.count()
+        if now > ROUND_LEAVES * before:
+            break
+        before = now
+    left = held(left.join(reps, "id").withColumn("second", F.lit(-1).cast("long")), "unresolved")
     open_members = left.where(F.col("n") <= BUCKET)
     if not (large := left.where(F.col("n") > BUCKET)).isEmpty():
         for part in grouped_again(large, reps, held):
