@@ -20,11 +20,11 @@ def session():
     return SparkSession.builder.appName("termloom").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
-def external_model(command: list[str]):
-    """A model behind a command: it gets JSON with system and user prompt on standard input and gives JSON."""
+def external_model(command: list[str], schema: str):
+    """A model behind a command: it gets JSON with system, user and schema on standard input and gives JSON."""
 
     def ask(system: str, user: str) -> str:
-        done = subprocess.run(command, input=json.dumps({"system": system, "user": user}), capture_output=True, text=True)
+        done = subprocess.run(command, input=json.dumps({"system": system, "user": user, "schema": json.loads(schema)}), capture_output=True, text=True)
         if done.returncode and not done.stdout.strip():
             raise SystemExit(f"the model's command failed: {done.stderr.strip()}")
         return done.stdout
@@ -75,24 +75,40 @@ def main(argv: list[str] | None = None) -> int:
     if args.json:
         print(json.dumps(result))
     elif not args.quiet:
-        for key, value in result.items():
-            print(f"{key}: {value}")
+        print("\n".join(summary(result)), file=sys.stderr)
     return 0
 
 
+def summary(result: dict, indent: str = "") -> list[str]:
+    """A table of a command's result, names in one column, lists and nested results below their names."""
+    width = max(map(len, result), default=0)
+    lines = []
+    for key, value in result.items():
+        if isinstance(value, dict):
+            lines += [f"{indent}{key}", *summary(value, indent + "  ")]
+        elif isinstance(value, list):
+            lines += [f"{indent}{key:<{width}}  {len(value)}", *(f"{indent}  {x}" for x in value)]
+        elif value is not None:
+            lines.append(f"{indent}{key:<{width}}  {value:.4g}" if isinstance(value, float) else f"{indent}{key:<{width}}  {value}")
+    return lines
+
+
 def do_extract(args, conf) -> dict:
     from termloom.plans import pipeline
+    from termloom.scratch import materialise
     from termloom.sources import files
 
     spark, base = session(), args.dir or conf.source.dir
     found, number = pipeline.extract(spark, conf, base)
-    found = found.cache()
+    found = materialise(found, "candidates")
     files.write_table(found, args.output, "candidates", version=pipeline.VERSION, generated=pipeline.now(), source_dir=str(base), document_count=number)
     return {"documents": number, "candidates": found.count(), "output": args.output}
 
 
 def do_curate(args, conf) -> dict:
+    from termloom.operators import validate
     from termloom.plans import pipeline
+    from termloom.scratch import materialise
     from termloom.sources import files
 
     spark = session()
@@ -100,16 +116,30 @@ def do_curate(args, conf) -> dict:
         conf.curate.max_budget_usd = args.max_budget
     found = files.read_candidates(spark, args.candidates)
     prior = Path(args.output)
-    mode = "incremental" if prior.exists() and not args.full_rebuild else "full"
+    incremental = prior.exists() and not args.full_rebuild
+    mode = "incremental" if incremental else "full"
     if args.dry_run or not args.model_command:
-        return {"mode": mode, **pipeline.gate(conf, pipeline.system_prompt(conf), pipeline.payload(found, conf))}
-    model = external_model(args.model_command)
-    terms = pipeline.curate_full(spark, found, conf, model) if mode == "full" else pipeline.curate_incremental(spark, files.read_terms(spark, prior), found, conf, model)
+        if not incremental:
+            return {"mode": mode, **pipeline.gate(conf, pipeline.system_prompt(conf), pipeline.user_prompt(conf, pipeline.payload(found, conf)))}
+        said = pipeline.difference(files.read_terms(spark, prior), found, conf)
+        told = {"mode": mode, **{k: said[k] for k in ("new", "total", "ratio", "warning")}, "stale": len(said["stale"])}
+        return told | (pipeline.gate(conf, said["prompt"], said["text"], delta=True) if said["new"] else {"input_tokens": 0, "first": 0.0, "cached": 0.0})
+    model, notes = external_model(args.model_command, pipeline.output_schema(incremental)), {}
+    terms = pipeline.curate_incremental(spark, files.read_terms(spark, prior), found, conf, model, notes) if incremental else pipeline.curate_full(spark, found, conf, model, notes)
     head = files._read(args.candidates)
-    terms = terms.cache()
+    base, made = head.get("source_dir", "."), pipeline.now()
+    terms = materialise(terms, "terms")
     number = terms.count()
-    files.write_table(terms, prior, "terms", version=pipeline.VERSION, generated=pipeline.now(), source_dir=head.get("source_dir", "."), document_count=head.get("document_count", 0))
-    return {"mode": mode, "terms": number, "output": str(prior)}
+    files.write_table(terms, prior, "terms", version=pipeline.VERSION, generated=made, source_dir=base, document_count=head.get("document_count", 0))
+    logs.write_reasoning(prior.with_name(f"{prior.stem}-thinking.md"), notes.get("thinking", ""), made, incremental)
+    suggested = [r.term for r in validate.without_places(terms).select("term").orderBy("term").collect()]
+    result = {"mode": mode, "terms": number, "output": str(prior), "suggested": suggested}
+    result |= {k: notes[k] for k in ("new", "total", "warning") if notes.get(k) is not None}
+    if Path(base).is_dir() and files.list_files(base, conf.source.extensions, skip_errors=True):
+        docs = files.with_prose(files.read_documents(spark, base, conf.source.extensions, skip_errors=True))
+        report, names = pipeline.check(terms, docs, conf.source.extensions)
+        result |= {"validation": report, "suggested_aliases": {f"{r.term} -> {r.alias}": r.file for r in names}}
+    return result
 
 
 def do_render(args, conf) -> dict:

@@ -24,8 +24,11 @@ class SourceConfig:
 
 @dataclass
 class StopWordsConfig:
+    """``path`` names a file of words, one a line, that takes the place of the source's own list."""
+
     source: str = "iso"
     language: str = "en"
+    path: str | None = None
 
 
 @dataclass

@@ -20,6 +20,11 @@ def fold(x: Column | str) -> Column:
     return F.lower(col(x))
 
 
+def ascii_fold(x: Column | str) -> Column:
+    """Lower case of A-Z alone."""
+    return F.translate(col(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def tokens(text: Column | str, stop_words: list[str] | tuple[str, ...] = ()) -> Column:
     """Lower-case words without their punctuation, of two bytes or more, that aren't stop words."""
     stripped = F.lower(F.regexp_replace(F.coalesce(col(text), F.lit("")), STRIP, ""))

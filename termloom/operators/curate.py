@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.text import compact_candidate, compact_entry, fold, path_ends_with
+from termloom.functions.text import ascii_fold, compact_candidate, compact_entry, fold, path_ends_with
 
 LOCATIONS = "array<struct<file string, main boolean, context string>>"
 STRINGS = "array<string>"
@@ -94,9 +94,10 @@ def drop_dangling_parents(terms: DataFrame) -> DataFrame:
     return joined.withColumn("parent", F.when(F.col("_name").isNotNull(), F.col("parent"))).drop("_name")
 
 
-def alphabetical(terms: DataFrame, max_terms: int) -> DataFrame:
-    """In order of lower-case terms, cut after ``max_terms``; late letters go, not low scores."""
-    return terms.orderBy(fold("term"), "term").limit(max_terms)
+def alphabetical(terms: DataFrame, max_terms: int | None) -> DataFrame:
+    """In order of lower-case terms, cut after ``max_terms`` (None: not at all); late letters go, not low scores."""
+    sorted_ = terms.orderBy(fold("term"), "term")
+    return sorted_ if max_terms is None else sorted_.limit(max_terms)
 
 
 def suggested_rows(suggested: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def suggested_rows(suggested: DataFrame) -> DataFrame:
     return suggested.select("term", "definition", "parent", none.alias("aliases"), none.alias("see_also"), F.array().cast(LOCATIONS).alias("locations"))
 
 
-def post_process(terms: DataFrame, suggested: DataFrame, candidates: DataFrame, known: DataFrame, max_terms: int = 200) -> DataFrame:
+def post_process(terms: DataFrame, suggested: DataFrame, candidates: DataFrame, known: DataFrame, max_terms: int | None = 200) -> DataFrame:
     """A model's full output as curated terms: places, aliases, suggested terms, children, alphabetical cut."""
     found = gather_locations(main_flags(curated_locations(terms, candidates), terms))
     base = terms.select("term", "definition", "parent", strings("see_also").alias("see_also"))
@@ -119,6 +120,12 @@ def new_candidates(candidates: DataFrame, terms: DataFrame) -> DataFrame:
     return candidates.join(surface_forms(terms).select("form").distinct(), fold(candidates["term"]) == F.col("form"), "left_anti")
 
 
+def new_counts(candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row: new (candidates that no term or alias names), total."""
+    named = candidates.join(surface_forms(terms).select("form").distinct(), fold(candidates["term"]) == F.col("form"), "left")
+    return named.agg(F.count_if(F.col("form").isNull()).alias("new"), F.count(F.lit(1)).alias("total"))
+
+
 def stale_terms(terms: DataFrame, candidates: DataFrame) -> DataFrame:
     """Terms with places none of whose forms is a candidate any more."""
     placed = terms.where(F.size("locations") > 0)
@@ -139,17 +146,18 @@ def ratio_warning(ratio: Column | str) -> Column:
 def merge_delta(terms: DataFrame, additions: DataFrame, modifications: DataFrame, removals: DataFrame, suggested: DataFrame) -> DataFrame:
     """Removals, then patches, then additions and suggestions.
 
-    Names match in lower case. A patch's nulls change nothing, so a parent can't be cleared; of several
-    patches of a term each column's last value counts (by ``ord``). A patch goes to the first term of its
-    name (by ``ord``, else by its spelling); one without a term is skipped. Added rows have no places until they are mapped.
+    Names of removals match in lower case, those of patches in the lower case of A-Z alone. A patch's nulls
+    change nothing, so a parent can't be cleared; of several patches of a term each column's last value counts
+    (by ``ord``). A patch goes to the first term of its name (by ``ord``, else by its spelling); one without a
+    term is skipped. Added rows have no places until they are mapped.
     """
     left = terms.join(removals.select(fold("term").alias("_gone")).distinct(), fold(terms["term"]) == F.col("_gone"), "left_anti")
     fields = ["definition", "parent", "aliases", "see_also"]
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"_{c}") for c in fields]
-    patches = modifications.groupBy(fold("term").alias("_name")).agg(*last)
+    patches = modifications.groupBy(ascii_fold("term").alias("_name")).agg(*last)
     first = "ord" if "ord" in terms.columns else "term"
-    numbered = left.withColumn("_n", F.row_number().over(Window.partitionBy(fold("term")).orderBy(first)))
-    patched = numbered.join(patches, (fold("term") == F.col("_name")) & (F.col("_n") == 1), "left")
+    numbered = left.withColumn("_n", F.row_number().over(Window.partitionBy(ascii_fold("term")).orderBy(first)))
+    patched = numbered.join(patches, (ascii_fold("term") == F.col("_name")) & (F.col("_n") == 1), "left")
     for c in fields:
         patched = patched.withColumn(c, F.coalesce(f"_{c}", c))
     patched = patched.select("term", *fields, "locations")
@@ -161,8 +169,8 @@ def merge_log(terms: DataFrame, additions: DataFrame, modifications: DataFrame,
     """One row: removed, modified, added, suggested."""
     gone = removals.select(fold("term").alias("_k")).distinct()
     removed = terms.join(gone, fold(terms["term"]) == F.col("_k"), "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    left = terms.join(gone, fold(terms["term"]) == F.col("_k"), "left_anti").select(fold("term").alias("_l")).distinct()
-    modified = modifications.join(left, fold(modifications["term"]) == F.col("_l"), "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    left = terms.join(gone, fold(terms["term"]) == F.col("_k"), "left_anti").select(ascii_fold("term").alias("_l")).distinct()
+    modified = modifications.join(left, ascii_fold(modifications["term"]) == F.col("_l"), "left_semi").agg(F.count(F.lit(1)).alias("n"))
     rows = None
     for name, df in (("removed", removed), ("modified", modified), ("added", additions.agg(F.count(F.lit(1)).alias("n"))), ("suggested", suggested.agg(F.count(F.lit(1)).alias("n")))):
         row = df.select(F.lit(name).alias("what"), "n")
@@ -179,7 +187,7 @@ def remap_locations(terms: DataFrame, candidates: DataFrame) -> DataFrame:
     return terms.drop("locations").join(found, "term", "left").withColumn("locations", F.coalesce("locations", F.array().cast(LOCATIONS)))
 
 
-def incremental(terms: DataFrame, candidates: DataFrame, delta: dict[str, DataFrame] | None, max_terms: int = 200) -> DataFrame:
+def incremental(terms: DataFrame, candidates: DataFrame, delta: dict[str, DataFrame] | None, max_terms: int | None = 200) -> DataFrame:
     """Merge a delta (if there is one), map places anew, rebuild children, drop dangling parents, cut."""
     merged = merge_delta(terms, delta["additions"], delta["modifications"], delta["removals"], delta["suggested"]) if delta else terms
     return alphabetical(children(drop_dangling_parents(remap_locations(merged, candidates))), max_terms).select(*TERM_COLUMNS)

@@ -1,12 +1,10 @@
-"""Intervals: merging, and matches that lie within one."""
+"""Intervals: merging. Matches that lie within one are found by operators.search."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.text import fold
-
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
     """From (file, s, e): the unions of intervals that touch or overlap."""
@@ -15,26 +13,3 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     marked = ranges.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
     numbered = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("file", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("file", "s", "e")
-
-
-def all_matches(text: Column | str, term: Column | str) -> Column:
-    """Starts (characters from 0) of all hits, overlapping ones too, without regard to case."""
-    text, term = (F.col(x) if isinstance(x, str) else x for x in (text, term))
-    low, sought = fold(text), fold(term)
-    n = F.char_length(sought)
-    # cut before each hit: the text is read once, not once for each character
-    pieces = F.split(low, F.concat(F.lit(r"(?=\Q"), F.replace(sought, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")), -1)
-    none = F.array().cast("array<bigint>")
-    # a piece may be shorter than the term where hits overlap; all but the first begin with one
-    rest = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.struct(F.char_length(F.get(pieces, F.lit(0))).cast("long").alias("at"), none.alias("starts")), lambda a, x: F.struct((a["at"] + F.char_length(x)).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
-    head = F.when(F.startswith(low, sought), F.array(F.lit(0).cast("long"))).otherwise(none)
-    return F.when((n > 0) & F.contains(low, sought), F.concat(head, rest)).otherwise(none)
-
-
-def first_in_ranges(text: Column | str, term: Column | str, ranges: Column | str) -> Column:
-    """End (characters) of the first hit that lies in one range and isn't followed by a dot and a letter."""
-    text, term, ranges = (F.col(x) if isinstance(x, str) else x for x in (text, term, ranges))
-    n = F.char_length(term)
-    inside = lambda s: F.exists(ranges, lambda r: (s >= r["s"]) & (s + n <= r["e"]))
-    field = lambda s: F.substring(text, (s + n + 1).cast("int"), F.lit(2)).rlike(r"\A\.[A-Za-z]")
-    return F.get(F.filter(all_matches(text, term), lambda s: inside(s) & ~field(s)), 0) + n

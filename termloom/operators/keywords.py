@@ -27,11 +27,13 @@ def spread(df: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     """Columns file, term, n, total: how often a document has each token, and its tokens in all.
 
-    The total is the size of the document's own token array, so it needs no second pass or window.
+    A document's tokens are sorted and counted as runs within its row, so that nothing is shuffled.
     """
-    found = docs.select("file", tokens("prose", stop_words).alias("t"))
-    found = found.select("file", F.size("t").cast("long").alias("total"), F.explode("t").alias("term"))
-    return found.groupBy("file", "total", "term").agg(F.count(F.lit(1)).alias("n")).select("file", "term", "n", "total")
+    found = spread(docs.select("file", "prose")).select("file", F.sort_array(tokens("prose", stop_words)).alias("t")).where(F.size("t") > 0)
+    starts = F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] != t[i - 1])")
+    found = found.select("file", "t", F.size("t").cast("long").alias("total"), starts.alias("starts"))
+    runs = F.expr("transform(starts, (s, k) -> named_struct('term', t[s], 'n', cast(coalesce(get(starts, k + 1), size(t)) - s as bigint)))")
+    return found.select("file", "total", F.inline(runs)).select("file", "term", "n", "total")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -127,25 +129,52 @@ def yake(text: str, max_n: int = 3, limit: int = 500, stop_words=STOP_WORDS, sim
         ranked.append((product / (n * (1 + total)) if total > -1 else product / n, key))
     ranked.sort()
     kept: list[tuple[str, float]] = []
+    by_length: dict[int, list[str]] = defaultdict(list)
     for value, key in ranked:
         if len(kept) == limit:
             break
-        if not any(_alike(key, other) > similar for other, _ in kept):
+        if not _has_like(key, by_length, similar):
             kept.append((key, value))
+            by_length[len(key)].append(key)
     worst = max((v for _, v in kept), default=0.0)
     return [(shown[key], 1 - v / worst if worst > 0 else 1.0) for key, v in kept]
 
 
-def _alike(a: str, b: str) -> float:
-    """One less the edit distance over the longer length; cut short where lengths rule likeness out."""
-    if abs(len(a) - len(b)) > 0.1 * max(len(a), len(b)) + 1:
-        return 0.0
+def _has_like(key: str, others: dict[int, list[str]], similar: float) -> bool:
+    """Whether one of ``others`` (by length) is likelier than ``similar``: one less the edit distance over the longer length.
+
+    Of strings with at most d edits between them, one of d + 1 pieces of the one stands in the other unchanged;
+    only where it does is the distance worked out.
+    """
+    n = len(key)
+    most = _edits(n + int(n * (1 - similar)) + 1, similar)
+    for m in range(n - most, n + most + 1):
+        if m in others and (d := _edits(max(n, m), similar)) >= abs(n - m) and d:
+            pieces = [key[i * n // (d + 1) : (i + 1) * n // (d + 1)] for i in range(d + 1)]
+            for other in others[m]:
+                if any(p in other for p in pieces) and _distance(key, other, d) <= d:
+                    return True
+    return False
+
+
+def _edits(n: int, similar: float) -> int:
+    """The most edits that leave strings of length ``n`` likelier than ``similar``."""
+    d = int(n * (1 - similar)) + 1
+    while d and 1 - d / n <= similar:
+        d -= 1
+    return d
+
+
+def _distance(a: str, b: str, most: int) -> int:
+    """The edit distance, or more than ``most`` as soon as that is certain."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+        if min(row) > most:
+            break
+    return row[-1]
 
 
 def yake_keywords(docs: DataFrame, max_n: int = 3, limit: int = 500, stop_words=STOP_WORDS) -> DataFrame:
@@ -156,12 +185,12 @@ def yake_keywords(docs: DataFrame, max_n: int = 3, limit: int = 500, stop_words=
             rows = [(f, i, t, s) for f, p in zip(frame["file"], frame["prose"]) for i, (t, s) in enumerate(yake(p or "", max_n, limit, stop_words))]
             yield pd.DataFrame(rows, columns=["file", "rank", "term", "score"]).astype({"rank": "int64", "score": "float64"})
 
-    return docs.select("file", "prose").mapInPandas(run, "file string, rank long, term string, score double")
+    return spread(docs.select("file", "prose")).mapInPandas(run, "file string, rank long, term string, score double")
 
 
 def yake_features(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     """Counts that the scores rest on, per document and word: n, sentences, capitalised (not first), of all words."""
-    sentences = docs.select("file", F.posexplode(F.split("prose", r"(?<=[.!?])\s+")).alias("sentence", "s"))
+    sentences = spread(docs.select("file", "prose")).select("file", F.posexplode(F.split("prose", r"(?<=[.!?])\s+")).alias("sentence", "s"))
     found = sentences.select("file", "sentence", F.posexplode(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("at", "w"))
     low = F.lower("w")
     return found.groupBy("file", low.alias("term")).agg(

@@ -6,55 +6,71 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.text import byte_offset_after, escape_markup, fold, marker, see_also, term_label
+from termloom.functions.text import escape_markup, fold, marker, see_also, term_label
 from termloom.operators.curate import strings
-from termloom.operators.intervals import first_in_ranges
+from termloom.operators.search import Finder, spans
+from termloom.scratch import discard, materialise
 
 IMPORT = '#import "@preview/in-dexter:0.7.2": *'
-#: A chain of parents that is longer ends here; cycles end by themselves.
-DEPTH = 64
 
 
 def parent_chains(terms: DataFrame) -> DataFrame:
-    """Columns term, chain: ancestors from the root to the parent. A parent that isn't a term is still named;
-    a chain that would come back to a term it has ends before it."""
+    """Columns term, chain: ancestors from the root to the parent, however many. A parent that isn't a term is still
+    named; a chain that would come back to a term it has ends before it.
+
+    Each round doubles the chains, so the rounds grow with the logarithm of the longest.
+    """
     links = terms.select("term", "parent").dropDuplicates(["term"])
-    chains = links.select("term", F.when(F.col("parent").isNull() | (F.col("parent") == F.col("term")), F.array().cast("array<string>")).otherwise(F.array("parent")).alias("chain"))
-    up = links.select(F.col("term").alias("_name"), F.col("parent").alias("_up"))
-    for _ in range(DEPTH):
-        seen = F.concat("chain", F.array("term"))
-        step = chains.join(up, F.get("chain", F.lit(0)) == F.col("_name"), "left")
-        more = F.col("_up").isNotNull() & ~F.array_contains(seen, F.col("_up"))
-        chains = step.select("term", F.when(more, F.concat(F.array("_up"), "chain")).otherwise(F.col("chain")).alias("chain"), more.alias("_more")).cache()
-        if chains.where("_more").isEmpty():
+    # ``up``: the parent, its parent and so on, as far as known; ``top``: where to go on
+    known = links.select("term", F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent")).alias("up"), F.col("parent").alias("top"))
+    known = materialise(known, "chains")
+    while True:
+        more = known.select(F.col("term").alias("_name"), F.col("up").alias("_up"), F.col("top").alias("_top"))
+        longer = known.join(more, F.col("top") == F.col("_name"), "left")
+        whole = F.concat("term_", "up", F.coalesce("_up", F.array().cast("array<string>")))
+        longer = longer.withColumn("term_", F.array("term")).withColumn("whole", whole)
+        # the first element that stands earlier in the whole ends the chain before it
+        again = F.array_min(F.filter(F.transform("whole", lambda x, i: F.when(F.array_position(F.col("whole"), x) <= i, i)), lambda i: i.isNotNull()))
+        step = longer.select("term", F.when(again.isNotNull(), F.slice("whole", F.lit(2), again - 1)).otherwise(F.slice("whole", F.lit(2), F.size("whole"))).alias("up"), F.when(again.isNull(), F.col("_top")).alias("top"))
+        last, known = known, materialise(step, "chains")
+        discard(last)
+        if known.where("top is not null").isEmpty():
             break
-        chains = chains.drop("_more")
-    return chains.select("term", "chain")
+    return known.select("term", F.reverse("up").alias("chain"))
 
 
 def place_terms(terms: DataFrame, docs: DataFrame, main_only: bool = False) -> DataFrame:
     """Columns file, term, main, chain, offset (bytes; null: not found): one marker per term and file.
 
     ``docs``: file, content, ranges (null: whole text). Places of a term in a file are taken in order; the
-    first gives ``main``. The term itself is sought first, then its aliases in order.
+    first gives ``main``. The term itself is sought first, then its aliases in order. Terms meet their file
+    once, all together, and its text is searched once.
     """
     places = terms.select("term", strings("aliases").alias("aliases"), F.posexplode("locations").alias("pos", "at")).select("term", "aliases", "pos", "at.file", "at.main")
     if main_only:
         places = places.where("main")
     first = Window.partitionBy("term", "file").orderBy("pos")
     places = places.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "pos")
-    rows = places.join(docs.select("file", "content", "ranges"), "file").join(parent_chains(terms), "term")
+    wanted = F.struct("term", "main", F.concat(F.array("term"), F.col("aliases")).alias("names"))
+    rows = places.groupBy("file").agg(F.collect_list(wanted).alias("wanted")).join(docs.select("file", "content", "ranges"), "file")
 
-    def at(name: Column) -> Column:
-        end = first_in_ranges("content", name, "ranges")
-        return F.when(F.col("ranges").isNull(), byte_offset_after("content", name)).otherwise(F.octet_length(F.substring("content", F.lit(1), end.cast("int"))).cast("long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, wanted, content, ranges in zip(*(batch.column(c).to_pylist() for c in ("file", "wanted", "content", "ranges")), strict=True):
+                held = Finder(n for w in wanted for n in w["names"]).first(content, spans(ranges))
+                for w in wanted:
+                    end = next((held[n.lower()][1] for n in w["names"] if n.lower() in held), None)
+                    out.append((file, w["term"], w["main"], None if end is None else len(content[:end].encode())))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            types = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "term", "main", "offset"])
 
-    forms = F.concat(F.array("term"), F.col("aliases"))
-    offset = F.get(F.filter(F.transform(forms, at), lambda x: x.isNotNull()), 0)
-    return rows.select("file", "term", "main", "chain", offset.alias("offset"))
+    found = rows.select("file", "wanted", "content", "ranges").mapInArrow(run, "file string, term string, main boolean, offset long")
+    return found.join(parent_chains(terms), "term").select("file", "term", "main", "chain", "offset")
 
 
 def annotate(docs: DataFrame, placed: DataFrame) -> DataFrame:
@@ -96,19 +112,15 @@ def counters(placed: DataFrame) -> DataFrame:
 def glossary_entries(terms: DataFrame) -> DataFrame:
     """Columns path, depth, term, label, body: what the glossary says of each term that it reaches from a root.
 
-    ``path`` sorts entries as the glossary lists them. A term whose parent is missing isn't reached.
+    ``path`` sorts entries as the glossary lists them. A term whose parent is missing, or whose parents form a
+    cycle, isn't reached. A term's path is its chain of parents, so no level is joined after another.
     """
     body = F.concat(escape_markup("definition"), see_also(strings("see_also")))
-    base = terms.select("term", "parent", term_label("term").alias("label"), body.alias("body"))
-    level = base.where("parent is null").select(F.array(fold("term")).alias("path"), F.lit(0).alias("depth"), "term", "label", "body")
-    done = level
-    for _ in range(DEPTH):
-        below = base.select(F.col("term").alias("_t"), F.col("parent").alias("_p"), F.col("label").alias("_l"), F.col("body").alias("_b"))
-        level = level.join(below, F.col("term") == F.col("_p")).select(F.concat("path", F.array(fold("_t"))).alias("path"), (F.col("depth") + 1).alias("depth"), F.col("_t").alias("term"), F.col("_l").alias("label"), F.col("_b").alias("body")).cache()
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return done
+    roots = terms.where("parent is null").select(F.col("term").alias("_root")).distinct()
+    base = terms.join(parent_chains(terms).withColumnRenamed("term", "_of"), F.col("term") == F.col("_of"))
+    reached = base.join(roots, F.coalesce(F.get("chain", F.lit(0)), F.col("term")) == F.col("_root"), "left_semi")
+    path = F.transform(F.concat("chain", F.array("term")), fold)
+    return reached.select(path.alias("path"), F.size("chain").alias("depth"), "term", term_label("term").alias("label"), body.alias("body"))
 
 
 class Renderer(Protocol):

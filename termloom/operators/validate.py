@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.text import alias_forms, contains_fold
+from termloom.functions.text import alias_forms
 from termloom.operators.curate import strings
-from termloom.operators.intervals import first_in_ranges
-
-
-def holds(content: Column | str, term: Column | str, ranges: Column | str) -> Column:
-    """Whether a text has a term: anywhere in it, or within its prose ranges where it has such (not null)."""
-    ranges = F.col(ranges) if isinstance(ranges, str) else ranges
-    return F.when(ranges.isNull(), F.coalesce(contains_fold(content, term), F.lit(False))).otherwise(first_in_ranges(content, term, ranges).isNotNull())
+from termloom.operators.search import Finder, spans
 
 
 def check_locations(terms: DataFrame, docs: DataFrame, extensions: list[str] | None = None) -> DataFrame:
-    """A row per place: term, file, status (resolved, unresolved, missing), suggestion.
+    """A row per place: term, pos, file, status (resolved, unresolved, missing), suggestion.
 
-    ``docs``: file, content, ranges (null: whole text). A term counts as found by itself or an alias. Where
-    it isn't, the first of its shorter or plural forms that the file holds is suggested.
+    ``docs``: file, content, ranges (null: whole text; else a hit must lie within one). A term counts as found by
+    itself or an alias. Where it isn't, the first of its shorter or plural forms that the file holds is suggested.
+    Places meet their file once, with all their forms, and its text is searched once.
     """
     places = terms.select("term", strings("aliases").alias("aliases"), F.posexplode("locations").alias("pos", "at")).select("term", "aliases", "pos", F.col("at.file").alias("file"))
     if extensions:
         places = places.where(F.regexp_extract("file", r"\.([^./]+)$", 1).isin(extensions))
-    rows = places.join(docs.select("file", "content", "ranges"), "file", "left")
-    found = F.exists(F.concat(F.array("term"), F.col("aliases")), lambda x: holds("content", x, "ranges"))
-    status = F.when(F.col("content").isNull(), "missing").when(found, "resolved").otherwise("unresolved")
-    suggestion = F.get(F.filter(alias_forms("term"), lambda x: holds("content", x, "ranges")), 0)
-    return rows.withColumn("status", status).select("term", "pos", "file", "status", F.when(F.col("status") == "unresolved", suggestion).alias("suggestion"))
+    wanted = F.struct("term", "pos", F.concat(F.array("term"), F.col("aliases")).alias("names"), alias_forms("term").alias("forms"))
+    rows = places.groupBy("file").agg(F.collect_list(wanted).alias("wanted")).join(docs.select("file", "content", "ranges"), "file", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, wanted, content, ranges in zip(*(batch.column(c).to_pylist() for c in ("file", "wanted", "content", "ranges")), strict=True):
+                held = Finder(f for w in wanted for f in w["names"] + w["forms"]).first(content, spans(ranges))
+                for w in wanted:
+                    status = "missing" if content is None else "resolved" if any(n.lower() in held for n in w["names"]) else "unresolved"
+                    suggestion = next((f for f in w["forms"] if f.lower() in held), None) if status == "unresolved" else None
+                    out.append((w["term"], w["pos"], file, status, suggestion))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["term", "pos", "file", "status", "suggestion"])
+
+    return rows.select("file", "wanted", "content", "ranges").mapInArrow(run, "term string, pos int, file string, status string, suggestion string")
 
 
 def report(checked: DataFrame) -> DataFrame:

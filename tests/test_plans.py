@@ -57,19 +57,23 @@ def test_extract_curate_render(spark, folder):
     assert report["checked"] == report["resolved"] + report["unresolved"]
 
 
-def test_incremental_asks_only_for_new_candidates(spark, folder):
+def test_incremental_asks_only_for_new_candidates(spark, folder, caplog):
     found, _ = pipeline.extract(spark, conf(), folder / "src")
     found = found.cache()
     terms = pipeline.curate_full(spark, found, conf(), answer).cache()
     known = found.where("lower(term) in ('oauth', 'certificates')")
-    same = pipeline.curate_incremental(spark, terms, known, conf(), lambda s, u: pytest.fail("asked"))
+    notes = {}
+    same = pipeline.curate_incremental(spark, terms, known, conf(), lambda s, u: pytest.fail("asked"), notes)
+    assert notes["new"] == 0 and notes["warning"] is None
     assert {r.term for r in same.collect()} == {"OAuth", "security", "zero trust"}
 
     def delta(system, user):
         assert "OAuth | parent: security" in user
         return json.dumps({"additions": [{"term": "API key", "definition": "Secret.", "parent": "nowhere", "aliases": [], "see_also": [], "main_files": []}], "modifications": [{"term": "oauth", "definition": "New.", "reason": "x"}], "removals": [{"term": "zero trust", "reason": "x"}]})
 
-    rows = {r.term: r for r in pipeline.curate_incremental(spark, terms, found, conf(), delta).collect()}
+    with caplog.at_level("WARNING", "termloom"):
+        rows = {r.term: r for r in pipeline.curate_incremental(spark, terms, found, conf(), delta, notes).collect()}
+    assert "full rebuild advised" in caplog.text and notes["ratio"] >= 0.7 and notes["estimate"]["input_tokens"] > 300
     assert set(rows) == {"API key", "OAuth", "security"} and rows["API key"].parent is None and rows["OAuth"].definition == "New."
     assert {x.file: x.main for x in rows["OAuth"].locations}["auth.md"] is True
 
@@ -84,6 +88,25 @@ def test_bad_output_and_budget(spark, folder):
         pipeline.curate_full(spark, found, dear, answer)
 
 
+def test_estimates_count_the_schema_and_stale_terms_are_told(spark, folder):
+    full, delta = pipeline.output_schema(False), pipeline.output_schema(True)
+    assert set(json.loads(delta)["required"]) == {"additions", "modifications", "removals"}
+    told = pipeline.gate(conf(), "system", "text")["input_tokens"]
+    assert told == 2 + 1 + 300 + -(-len(full) // 4)
+    assert "gone: x, y" in pipeline.user_prompt(conf(), "p", "index", ["x", "y"]) and "gone" not in pipeline.user_prompt(conf(), "p", "index")
+
+
+def test_patches_match_ascii_case_alone(spark):
+    from termloom.operators import curate
+
+    prior = spark.createDataFrame([("Ärmel", "old", None, [], [], [], 0), ("Knopf", "old", None, [], [], [], 1)], f"term string, definition string, parent string, aliases array<string>, see_also array<string>, locations {curate.LOCATIONS}, ord int")
+    shape = "term string, definition string, parent string, aliases array<string>, see_also array<string>"
+    none, patches = spark.createDataFrame([], shape), spark.createDataFrame([(0, "ärmel", "new", None, None, None), (1, "KNOPF", "new", None, None, None)], f"ord int, {shape}")
+    gone, more = spark.createDataFrame([], "term string, reason string"), spark.createDataFrame([], "term string, definition string, parent string")
+    assert {r.term: r.definition for r in curate.merge_delta(prior, none, patches, gone, more).collect()} == {"Ärmel": "old", "Knopf": "new"}
+    assert curate.merge_log(prior, none, patches, gone, more).first().modified == 1
+
+
 def test_no_documents(spark, tmp_path):
     with pytest.raises(files.NoDocuments):
         pipeline.extract(spark, conf(), tmp_path)
@@ -122,9 +145,21 @@ def test_command_line(spark, folder, monkeypatch, capsys):
     assert json.loads(capsys.readouterr().out)["documents"] == 3
     assert cli.main(["--json", "curate", "c.yaml", "--dry-run"]) == 0
     assert json.loads(capsys.readouterr().out)["mode"] == "full"
-    (folder / "model.py").write_text(f"import sys\nsys.stdin.read()\nprint({answer('', '')!r})\n")
+    (folder / "model.py").write_text(f"import sys\nopen('sent.json', 'w').write(sys.stdin.read())\nprint({json.dumps({**json.loads(answer('', '')), 'thinking': 'Weighed it.'})!r})\n")
     assert cli.main(["--json", "curate", "c.yaml", "-o", "t.yaml", "--model-command", "python", "model.py"]) == 0
-    assert json.loads(capsys.readouterr().out)["terms"] == 3
+    said = json.loads(capsys.readouterr().out)
+    assert said["terms"] == 3 and said["suggested"] == ["OAuth", "zero trust"]  # OAuth stands in too many files to be a candidate
+    assert said["validation"]["checked"] == said["validation"]["resolved"] + said["validation"]["unresolved"] > 0
+    assert (folder / "t-thinking.md").read_text() == "Weighed it."
+    sent = json.loads((folder / "sent.json").read_text())
+    assert set(sent["schema"]["required"]) == {"terms"} and "main_files" in sent["schema"]["properties"]["terms"]["items"]["properties"]
+    assert cli.main(["--json", "curate", "c.yaml", "-o", "t.yaml", "--dry-run"]) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert said["mode"] == "incremental" and 0 < said["new"] <= said["total"] and said["input_tokens"] > 300 and said["warning"]
     assert cli.main(["--json", "render", "t.yaml", "-o", "out"]) == 0
     assert json.loads(capsys.readouterr().out)["markers"] >= 1
     assert cli.main(["--json", "doctor"]) == 0
+    capsys.readouterr()
+    assert cli.main(["curate", "c.yaml", "-o", "t.yaml", "--dry-run"]) == 0
+    told = capsys.readouterr()
+    assert not told.out and "incremental" in told.err

@@ -39,7 +39,7 @@ def test_equals_sql(spark, duck, name):
     columns = [c[0] for c in found.description]
     want = rows_of(columns, found.fetchall())
     assert sorted(df.columns) == sorted(columns)
-    assert got == want
+    assert got == want and got
 
 
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLES)))

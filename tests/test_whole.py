@@ -1,25 +1,22 @@
 """Queries that take whole documents, against brute force."""
 
 import os
+import random
 import re
 
-from pyspark.sql import functions as F
-
 from termloom import queries as q
-from termloom.operators import intervals as I
+from termloom.operators import search as H
 
 SF = os.environ.get("TERMLOOM_SF", "/root/testdata/sf0.001")
 
 
-def test_all_matches_overlap_and_need_no_quoting(spark):
-    cases = [("aaaa", "aa"), ("anan xan", "an"), ("none", "an"), ("", "a"), ("a", ""), (r"x\Ey\E", r"\E"), ("\U0001f600an\U0001f600AN", "an"), ("a.b.c", "."), (r"a\Q", r"\q")]
-    rows = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(cases)], "i int, t string, x string")
-    got = {r.i: r.m for r in rows.select("i", I.all_matches("t", "x").alias("m")).collect()}
-    for i, (t, x) in enumerate(cases):
-        assert got[i] == [k for k in range(len(t)) if x and t.lower().startswith(x.lower(), k)], (t, x)
+def test_hits_overlap_and_need_no_quoting():
+    cases = [("aaaa", "aa"), ("anan xan", "an"), ("none", "an"), ("", "a"), ("a", ""), (r"x\Ey\E", r"\E"), ("\U0001f600an\U0001f600AN", "an"), ("a.b.c", "."), (r"a\Q", r"\q"), ("İan İAN", "an")]
+    for t, x in cases:
+        assert [(s, e) for _, s, e in H.Finder([x]).hits(t)] == [(k, k + len(x)) for k in range(len(t)) if x and t[k : k + len(x)].lower() == x.lower()], (t, x)
 
 
-def test_match_in_ranges_whole_reads_every_document_to_its_end(spark):
+def test_match_in_ranges_reads_every_document_to_its_end(spark):
     want = {}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         half = len(r.text) // 2
@@ -28,14 +25,30 @@ def test_match_in_ranges_whole_reads_every_document_to_its_end(spark):
             if (e <= half or s >= half) and not re.match(r"\.[A-Za-z]", r.text[e:]):
                 want[r.doc_id] = e
                 break
-    got = {r.doc_id: r.found for r in q.QUERIES["match_in_ranges_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.found for r in q.QUERIES["match_in_ranges"](spark, SF).collect()}
     assert got == want and max(got.values()) > 400
 
 
+def test_first_hits_equal_a_plain_search():
+    rng = random.Random(8)
+    for _ in range(500):
+        text = "".join(rng.choice("abAB.x İ") for _ in range(rng.randrange(40)))
+        ranges = [(s, s + rng.randrange(8)) for s in (rng.randrange(40) for _ in range(rng.randrange(5)))] if rng.random() < 0.7 else None
+        forms = ["".join(rng.choice("abx.") for _ in range(rng.randrange(1, 4))) for _ in range(4)]
+        want = {}
+        for f in set(forms):
+            for s in range(len(text) - len(f) + 1):
+                e = s + len(f)
+                if text[s:e].lower() == f and (ranges is None or any(a <= s and e <= b for a, b in ranges) and not re.match(r"\.[A-Za-z]", text[e:])):
+                    want[f] = (s, e)
+                    break
+        assert H.Finder(forms).first(text, ranges) == want
+    assert H.Finder(["a"]).first(None) == {} and H.Finder([]).first("a") == {} and H.Finder(["a"]).first("a", []) == {}
+
+
 def test_ranges_beyond_a_long_prefix(spark):
-    rows = spark.createDataFrame([("x" * 100_000 + "an",)], "t string")
-    ranges = F.expr("array(named_struct('s', 100000L, 'e', 100002L))")
-    assert rows.select(I.first_in_ranges("t", F.lit("an"), ranges)).first()[0] == 100_002
+    rows = spark.createDataFrame([(1, "x" * 1_000_000 + "an", [(10**6, 10**6 + 2)]), (2, None, []), (3, "an.b an", [(0, 7)]), (4, "an", None)], "k int, t string, r array<struct<s long, e long>>")
+    assert {r.k: r.found for r in H.first_in_ranges(rows, "AN", "k", "t", "r").collect()} == {1: 10**6 + 2, 2: None, 3: 7, 4: 2}
 
 
 def documents(spark):
@@ -55,7 +68,7 @@ def placed(texts):
 
 def test_terms_are_placed_in_every_document(spark):
     want = placed(documents(spark))
-    got = q.QUERIES["placed_terms_whole"](spark, SF).collect()
+    got = q.QUERIES["placed_terms"](spark, SF).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     put = [x for x in want if x[3] is not None]
     row = q.QUERIES["render_counters"](spark, SF).first()
@@ -84,14 +97,15 @@ def test_every_document_is_validated(spark):
     checked, resolved, first = 0, 0, {}
     for file, text in documents(spark).items():
         low = text.lower()
-        for term, aliases, _ in q.CHECKED_TERMS:
+        for term, aliases in q.CHECKED_TERMS:
             checked += 1
             if any(x in low for x in [term, *aliases]):
                 resolved += 1
             elif met := [x for x in forms[term] if x in low]:
                 first[term, met[0]] = min(file, first.get((term, met[0]), file))
-    assert tuple(q.QUERIES["validate_report_whole"](spark, SF).first()) == (checked, resolved, checked - resolved)
-    assert {(r.term, r.alias): r.file for r in q.QUERIES["alias_suggestions_whole"](spark, SF).collect()} == first
+    checked += len(q.CHECKED_TERMS)  # the file that isn't there
+    assert tuple(q.QUERIES["validate_report"](spark, SF).first()) == (checked, resolved, checked - resolved)
+    assert {(r.term, r.alias): r.file for r in q.QUERIES["alias_suggestions"](spark, SF).collect()} == first
 
 
 def manuscripts(spark, tmp_path, texts):
@@ -115,15 +129,15 @@ def test_snapshots_hold_every_document_to_its_end(spark, tmp_path):
     spark.createDataFrame([(i, f"same filler first{i} middle last{i}") for i in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("same last1 FIRST5s new, last7",), ("middle another",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
     run = lambda name: q.QUERIES[name](spark, str(tmp_path)).collect()
-    assert sorted(r.term for r in run("new_candidates_whole")) == ["another", "new"]
+    assert sorted(r.term for r in run("new_candidates")) == ["another", "new"]
     stale = {"filler"} | {f"{w}{i}" for w in ("first", "last") for i in range(12)} - {"last1", "first5", "last7"}
-    assert {r.term for r in run("stale_terms_whole")} == stale
-    assert tuple(run("diff_ratio_whole")[0]) == (2, 7, round(2 / 7, 9), None)
+    assert {r.term for r in run("stale_terms")} == stale
+    assert tuple(run("diff_ratio")[0]) == (2, 7, round(2 / 7, 9), None)
 
 
 def test_every_top_term_has_snippets(spark):
     top = {r.term for r in q.QUERIES["tfidf_topk"](spark, SF).collect()}
-    rows = q.QUERIES["context_snippets_whole"](spark, SF).collect()
+    rows = q.QUERIES["context_snippets"](spark, SF).collect()
     got = {(r.key, r.file) for r in rows}
     assert len(top) == 500 and got == {(t, f) for f, text in documents(spark).items() for t in top if t in text.lower()}
     assert len({r.key for r in rows}) > 20
