@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ascii_lower, materialise
+from termloom.llm.common import ascii_lower, discard, materialise
 
 #: Parts that a group of equal digests is dealt to before its winners meet.
 SALTS = 32
@@ -58,6 +58,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         told = shared.join(by_text(shared), ["digest", "norm"])
         rest = found.join(clashing, "digest", "left_anti")
         found = rest.unionByName(told.select(*rest.columns))
+    else:
+        discard(repeated, ids, clashing)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
         F.col("id").alias(id_col),

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialise, n_words
+from termloom.llm.common import discard, materialise, n_words
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -194,6 +194,7 @@ def plan_mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_c
     if (found := groups.count()) > PATTERNS_LIMIT:
         raise ValueError(f"{found} patterns of sources; the driver routes at most {PATTERNS_LIMIT}")
     named = [(r, tuple(json.loads(r.pattern or "[]"))) for r in groups.collect()]
+    discard(groups)
     sizes: dict = {}
     for r, names in named:
         for s in names:

@@ -169,7 +169,9 @@ def occurrences(edges: DataFrame, texts: DataFrame) -> DataFrame:
     counts = materialise(spoken.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     times = wanted.select("pattern", F.explode("words").alias("word")).join(counts, "word").groupBy("pattern").agg(F.min("n").alias("times"))
-    return times.withColumn("total", F.lit(total).cast("long"))
+    heard = materialise(times.withColumn("total", F.lit(total).cast("long")), "heard")
+    discard(wanted, words, counts)
+    return heard
 
 
 def pattern_scores(edges: DataFrame, belief: DataFrame, heard: DataFrame) -> DataFrame:
@@ -237,7 +239,9 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialise(matches(texts), "matches")
     edges = materialise(graph(found.where("size(base) > 0 or size(others) > 0")), "edges")
-    discovered = bootstrap(edges, materialise(occurrences(edges, texts), "heard"))
+    heard = occurrences(edges, texts)
+    discovered = bootstrap(edges, heard)
+    discard(edges, heard)
     discovered = F.broadcast(discovered) if discovered.count() <= TOKENS_BROADCAST else discovered
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     extra = (
@@ -263,7 +267,7 @@ def hidden_seeds(docs: DataFrame, share: float = 0.3, seed: int = 10, *, id_col:
     truth = graph(found).where("kind is not null").groupBy("token").agg(F.min("kind").alias("truth"))
     edges = materialise(graph(found, share, seed), "edges")
     told = edges.where("kind is not null").select("token").distinct()
-    said = bootstrap(edges, materialise(occurrences(edges, texts), "heard")).select("token", "kind").join(told, "token", "left_anti")
+    said = bootstrap(edges, occurrences(edges, texts)).select("token", "kind").join(told, "token", "left_anti")
     rows = truth.join(told, "token", "left_anti").join(said, "token", "full")
     right = F.col("kind") == F.col("truth")
     by = rows.select(F.explode(F.array_compact(F.array_distinct(F.array("truth", "kind")))).alias("of"), "truth", "kind", right.alias("right"))

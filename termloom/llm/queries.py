@@ -64,6 +64,21 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).drop("text")
 
 
+LICENSE_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+h AS (SELECT doc_id, len(w) AS n_words, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
+  list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM d),
+p AS (SELECT *, list_concat(list_concat(m, a), g) AS l FROM h)
+SELECT doc_id, n_words, len(l) AS n_base, list_min(l) - 1 AS first_word, list_max(l) - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM p
+"""
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the licence scan: the places of the base phrases."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule failures and host verdicts of every document; its host is its source."""
     found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -95,7 +110,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.held_out("doc_id", 4, 2)
     model = language_id.fit(docs.where(~out))
-    found = language_id.predict(docs.select("doc_id", "text"), model)
+    found = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
@@ -141,6 +156,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), *more)
 
 
+def _pii_sql() -> str:
+    """The rules in SQL: matches, the gaps before them, what each kind must pass."""
+    shapes = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    luhn = "list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(r[i] AS INT) WHEN r[i] > '4' THEN 2 * CAST(r[i] AS INT) - 9 ELSE 2 * CAST(r[i] AS INT) END)) % 10 = 0"
+    passes = {"email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN true ELSE CAST('0' || ltrim(p, '0') AS INT) > 255 END)) = 0", "card": f"CASE WHEN length(n) BETWEEN 12 AND 19 THEN {luhn} ELSE false END", "phone": "length(n) BETWEEN 9 AND 15"}
+    kinds = [
+        f"SELECT doc_id, '{k}' AS kind, {i} AS rank, s, e FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n, reverse(n) AS r, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e, e - length(m) AS s"
+        f" FROM (SELECT doc_id, unnest(l) AS m, unnest(g[1:len(l)]) AS gap, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{shapes[k]}') AS l, string_split_regex(t, '{shapes[k]}') AS g FROM d))) WHERE {passes[k]}"
+        for i, k in enumerate(pii.RULED)
+    ]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(kinds)}),
+c AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.RULED)}, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) AS said FROM m GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.RULED)}, sha256(coalesce(said, '')) AS base_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
+
+
+def pii_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of personal data: the rules' matches."""
+    return op10_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.RULED), "base_sha256")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_training_order": op2_training_order,
@@ -153,5 +190,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
     "training_shards": training_shards,
+    "license_base": license_base,
+    "pii_rules": pii_rules,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_near_dedup": OP9_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_near_dedup": OP9_SQL, "license_base": LICENSE_BASE_SQL, "pii_rules": _pii_sql()}

@@ -16,14 +16,16 @@ def duck(sf_dir: str = SF) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def rows_of(table) -> list[tuple]:
-    names = sorted(table.columns)
-    return sorted((tuple(r) for r in table[names].itertuples(index=False)), key=repr)
+def rows_of(columns: list[str], rows: list) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
 def same(spark, query, sql: str, sf_dir: str = SF) -> int:
-    got = query(spark, sf_dir).toPandas()
-    want = duck(sf_dir).execute(sql).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows_of(got) == rows_of(want)
+    df = query(spark, sf_dir)
+    found = duck(sf_dir).execute(sql)
+    columns = [c[0] for c in found.description]
+    assert sorted(df.columns) == sorted(columns)
+    got, want = rows_of(df.columns, df.collect()), rows_of(columns, found.fetchall())
+    assert got == want
     return len(got)

@@ -1,7 +1,8 @@
 import re
 
+from tests.llm.helpers import same
 from termloom.llm import licenses as lic
-from termloom.llm.queries import op4_license_scan
+from termloom.llm.queries import LICENSE_BASE_SQL, license_base, op4_license_scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -51,6 +52,10 @@ def test_query_on_all_rows(spark):
     assert all((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(docs[r.doc_id]) for r in got)
 
 
+def test_base_equals_sql(spark):
+    assert same(spark, license_base, LICENSE_BASE_SQL) == 200
+
+
 def test_clashing_columns_and_empty_table(spark):
     rows = spark.createDataFrame([(1, None, "old", 5), (2, "mit license", "old", 6)], "doc_id long, text string, labels string, n_words int")
     got = lic.scan_licenses(rows)

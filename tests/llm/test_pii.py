@@ -2,8 +2,9 @@ import hashlib
 import random
 import re
 
+from tests.llm.helpers import same
 from termloom.llm import pii
-from termloom.llm.queries import op10_pii
+from termloom.llm.queries import ORACLES, op10_pii, pii_rules
 
 SHAPES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -46,6 +47,10 @@ def test_rules_equal_brute_force(spark):
         assert got[i] == brute(text), text
 
 
+def test_rules_equal_sql(spark):
+    assert same(spark, pii_rules, ORACLES["pii_rules"], "/root/testdata/sf0.01") == 1000
+
+
 def test_query_on_all_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
