@@ -30,8 +30,6 @@ SHARD_RECORDS = 65_536
 ROUNDS = 8
 #: Most bytes of the vocabulary, which is broadcast.
 LIMIT = 128 << 20
-#: Most rows of the numbering that are broadcast; more are joined by a shuffle.
-NUMBERS_BROADCAST = 500_000
 END = b"\n"
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -82,7 +80,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, *, id_col: str, text_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text != ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, squeeze = _library(shared.value, pattern), zstandard.ZstdCompressor(level=1)
+        encoding, squeeze = _library(shared.value, pattern), zstandard.ZstdCompressor(level=3)
         kind = np.dtype("<u2" if encoding.max_token_value < 65_535 else "<u4")
         part, at = TaskContext.get().partitionId(), 0
         for whole in batches:
@@ -102,7 +100,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, *, id_col: str, text_col
 
 
 def numbered(tokens: DataFrame) -> tuple[DataFrame, int]:
-    """``tokens`` with ``first``, the number of a document's first sequence, and how many sequences there are.
+    """Tokens (id, first, ids) with the number of a document's first sequence, and how many sequences there are.
 
     Documents count in order of id, then digest, null ids first. Only ids and counts are sorted: by range, with a
     running sum in each range and the ranges' totals (as many as there are shuffle partitions) added up.
@@ -129,11 +127,10 @@ def numbered(tokens: DataFrame) -> tuple[DataFrame, int]:
         total += r.n
     offset = F.broadcast(spark.createDataFrame(offsets, "range long, before long"))  # a row per shuffle partition
     numbers = ranked.join(offset, "range").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "copies", (F.col("start") + F.col("before")).alias("start"))
-    numbers = F.broadcast(numbers) if groups.count() <= NUMBERS_BROADCAST else numbers
     found = tokens.join(numbers, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).drop("_id", "_digest")
-    found = found.withColumn("copy", F.lit(0).cast("long"))
+    single = found.where("copies = 1").select("id", F.col("start").alias("first"), "ids")
     if groups.where("copies > 1").isEmpty():
-        return found.withColumn("first", F.col("start")).drop("start", "copies", "copy"), total
+        return single, total
     repeated = groups.where("copies > 1").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
     rows = tokens.select("id", "digest", "part", "at").join(repeated, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
     rows = materialise(rows, "copies")
@@ -144,9 +141,8 @@ def numbered(tokens: DataFrame) -> tuple[DataFrame, int]:
     sums = sums.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("part").alias("_part"), "before")
     inside = inside.join(sums, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.col("part") == F.col("_part")))
     inside = materialise(inside.select("part", "at", (F.col("before") + F.col("k")).alias("copy")), "places")
-    inside = F.broadcast(inside) if inside.count() <= NUMBERS_BROADCAST else inside
-    found = found.drop("copy").join(inside, ["part", "at"], "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
-    return found.withColumn("first", F.col("start") + F.col("copy") * F.col("n")).drop("start", "copies", "copy"), total
+    several = found.where("copies > 1").join(inside, ["part", "at"])
+    return single.unionByName(several.select("id", (F.col("start") + F.col("copy") * F.col("n")).alias("first"), "ids")), total
 
 
 def training_order(docs: DataFrame, path: str, pattern: str, *, key: bytes, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> DataFrame:
@@ -188,7 +184,7 @@ def training_order(docs: DataFrame, path: str, pattern: str, *, key: bytes, id_c
                         ["slot", "shard", "offset", "id", "seq_no", "n_tokens", "record"],
                     )
 
-    made = done.select("id", "first", "ids").mapInArrow(run, f"slot long, shard long, offset long, id {kind_of_id}, seq_no long, n_tokens long, record binary")
+    made = done.mapInArrow(run, f"slot long, shard long, offset long, id {kind_of_id}, seq_no long, n_tokens long, record binary")
     shards = max(1, -(-total // shard_records))
     return made.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot").withColumnRenamed("id", id_col)
 

@@ -55,9 +55,7 @@ def test_shards_are_read_back_from_any_slot(spark, tmp_path):
             assert codec.decode(b"".join(own[k] for k in sorted(own))) == text.encode()
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_slots_do_not_depend_on_how_the_input_is_split(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(to, "NUMBERS_BROADCAST", broadcast)
+def test_slots_do_not_depend_on_how_the_input_is_split(spark):
     rows = [(i, f"document {i} says " + "some words more " * (i % 9)) for i in range(90)] + [(7, "another of seven"), (None, "no id"), (None, "no id"), (91, None), (92, "")] + [(50, "hot row again and again")] * 60
     docs = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, record string")
     slots = []
