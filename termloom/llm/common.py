@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.scratch import discard, materialise, scratch_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word of most operators: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python frees a batch of texts before it takes the next; bounds both sides' memory for long texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,48 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local master (one JVM, one disk) gets a folder of its own; on a cluster, whose
-    machines don't see each other's disks, it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="termloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The rows are computed once; what follows reads columnar files instead of repeating the work. What is
-    read again and again within an operator goes by ``discard`` once nothing refers to it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/termloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.scratch_path = path
-    return found
-
-
-def discard(*written: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote. Only for those that no result still to be computed reads."""
-    for df in written:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path).getParent()
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def packed(df: DataFrame, name: str = "row") -> DataFrame:
-    """All columns as one struct beside which an operator may put columns of any name; ``select("row.*")`` undoes it."""
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name))
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text of ASCII alone takes the faster ``lower``, which does the same there."""
     text = F.coalesce(text, F.lit(""))
@@ -109,15 +66,16 @@ def with_fields(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], fields).schema.fields])
 
 
-def map_arrow(df: DataFrame, schema: str | T.StructType, f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """``mapInArrow`` in batches cut to ``BATCH_BYTES``, so that long texts don't pile up."""
+def map_arrow(df: DataFrame, schema: str | T.StructType, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` in batches cut to about ``most`` bytes, so that long texts don't pile up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch):
+            for part in cut(batch, most):
                 out = f(part)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()  # a worker lives on between tasks
 
     return df.mapInArrow(run, schema)
 
@@ -129,3 +87,6 @@ def cut(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBat
     step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+
+
+__all__ = ["ascii_lower", "bounded_sample", "broadcast_value", "cut", "discard", "map_arrow", "materialise", "n_words", "scratch_dir", "table", "with_fields"]

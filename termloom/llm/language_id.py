@@ -10,10 +10,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import broadcast_value, map_arrow, materialise, with_fields
+from termloom.llm.common import broadcast_value, discard, map_arrow, materialise, with_fields
 
 #: Labelled documents of each language that the model is learned from at most: those of the smallest seeded hash.
 SAMPLE_DOCS = 5_000
@@ -28,6 +28,10 @@ BACKOFF = 0.6
 MODEL_LIMIT = 256 << 20
 #: Most ids of sampled rows that are broadcast.
 IDS_BROADCAST = 1_000_000
+#: Text that is counted at once; of words, a thirty-second part, as each has many n-grams.
+COUNTED_BYTES = 2 << 20
+#: Words whose scores a worker remembers.
+SEEN = 60_000
 UNKNOWN = "und"
 NO_LETTERS = r"[^\p{L}]+"
 
@@ -39,48 +43,79 @@ def grams(word: str, size: int) -> list[str]:
 
 
 class Model:
-    """Scores of words and n-grams: per language, log frequency less the languages' mean."""
+    """Scores of words and n-grams: per language, log frequency less the languages' mean.
+
+    ``tables``: by size (0: word), the row of ``scores`` of each word or n-gram. A worker holds one model, however
+    many passes use it, and remembers the scores of up to SEEN words.
+    """
 
     def __init__(self, counts: list[tuple[int, str, str, int]], languages: list[str]):
         """``counts``: size (0: word), gram, language, count."""
         self.languages = languages
         at = {x: i for i, x in enumerate(languages)}
-        tables: dict[int, dict[str, np.ndarray]] = {}
+        rows: dict[int, dict[str, np.ndarray]] = {}
         for size, gram, lang, n in counts:
-            tables.setdefault(size, {}).setdefault(gram, np.zeros(len(languages)))[at[lang]] += n
-        self.tables = {size: self._scored(table) for size, table in tables.items()}
-        self.seen: dict[str, np.ndarray] = {}  # bounded in _look
+            rows.setdefault(size, {}).setdefault(gram, np.zeros(len(languages)))[at[lang]] += n
+        self.tables: dict[int, dict[str, int]] = {}
+        scored, first = [np.zeros((0, len(languages)), np.float32)], 0
+        for size, table in rows.items():
+            self.tables[size] = {gram: first + i for i, gram in enumerate(table)}
+            scored.append(self._scored(np.array(list(table.values()))))
+            first += len(table)
+        self.scores = np.concatenate(scored)
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.known = np.zeros((0, len(self.languages) + 1), np.float32)
+        self.own = None
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("languages", "tables", "scores")}
+
+    def __setstate__(self, state) -> None:
+        self.__dict__.update(state)
+        self._fresh()
+
+    def shared(self, spark: SparkSession):
+        """The model, broadcast once (size checked)."""
+        if self.own is None:
+            self.own = broadcast_value(spark, self, MODEL_LIMIT, check_size(sum(map(len, self.tables.values())), len(self.languages)))
+        return self.own
 
     @staticmethod
-    def _scored(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        matrix = np.array(list(table.values()))
+    def _scored(matrix: np.ndarray) -> np.ndarray:
         share = np.log((matrix + 0.5) / (matrix.sum(0) + 0.5 * len(matrix)))
-        return dict(zip(table, (share - share.mean(1, keepdims=True)).astype(np.float32), strict=True))
+        return (share - share.mean(1, keepdims=True)).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         return self._look(word)[:-1]
 
     def _look(self, word: str) -> np.ndarray:
         """A word's scores, and how far the model has met it: 1, or the share of its longest n-grams that are known."""
-        if (found := self.seen.get(word)) is None:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            found = self.seen[word] = self._scores(word)
-        return found
-
-    def _scores(self, word: str) -> np.ndarray:
-        if (known := self.tables.get(0, {}).get(word)) is not None:
-            return np.append(known, np.float32(1))
+        if (at := self.seen.get(word)) is not None:
+            return self.known[at]
+        if not len(self.known):
+            self.known = np.zeros((SEEN, len(self.languages) + 1), np.float32)
+        if len(self.seen) >= SEEN:
+            self.seen.clear()
+        at = self.seen[word] = len(self.seen)
+        self.known[at, :-1], self.known[at, -1] = self._scores(word)
+        return self.known[at]
+
+    def _scores(self, word: str) -> tuple[np.ndarray | float, float]:
+        if (row := self.tables.get(0, {}).get(word)) is not None:
+            return self.scores[row], 1.0
         weight, met = BACKOFF, None
         for size in SIZES:
             table, own = self.tables.get(size, {}), grams(word, size)
-            hits = [table[g] for g in own if g in table]
+            rows = [table[g] for g in own if g in table]
             if met is None and own:
-                met = len(hits) / len(own)
-            if hits:
-                return np.append(weight * np.mean(hits, axis=0), np.float32(met))
+                met = len(rows) / len(own)
+            if rows:
+                return weight * self.scores[rows].mean(0), met
             weight *= BACKOFF
-        return np.zeros(len(self.languages) + 1, np.float32)
+        return 0.0, 0.0
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
         """Language, score and familiarity of each text: the distinct words of the batch are scored once."""
@@ -90,7 +125,10 @@ class Model:
         flat = split.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
         width = len(self.languages) + 1
-        vectors = np.array([self._look(w) if w else np.zeros(width, np.float32) for w in words], np.float32).reshape(len(words), width)
+        vectors = np.zeros((len(words), width), np.float32)
+        for i, w in enumerate(words):
+            if w:
+                vectors[i] = self._look(w)
         letters = np.array([bool(w) for w in words], np.int64)
         at = flat.indices.to_numpy()
         sums = np.zeros((len(texts), width))
@@ -125,7 +163,9 @@ def sample_by_language(rows: DataFrame, most: int, seed: int) -> DataFrame:
     ranked = close.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id")))
     picked = materialise(ranked.where(F.col("n") <= most).select("id", "lang"), "picked")
     chosen = F.broadcast(picked) if picked.count() <= IDS_BROADCAST else picked
-    return materialise(rows.join(chosen, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text")), "sample")
+    sample = materialise(rows.join(chosen, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text")), "sample")
+    discard(picked)
+    return sample
 
 
 def most_frequent(counts: DataFrame, most: Column) -> DataFrame:
@@ -175,16 +215,18 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         keys = list(zip(*found, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.string()), pa.array(found.values(), pa.int64())], ["size", "gram", "lang", "n"])
 
-    words = map_arrow(sample.repartition(spread), "gram string, lang string, n long", count_words).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    words = map_arrow(sample.repartition(spread), "gram string, lang string, n long", count_words, COUNTED_BYTES).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     words = materialise(words, "words")
-    counted = map_arrow(words.repartition(spread), "size int, gram string, lang string, n long", count_grams).groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    counted = map_arrow(words.repartition(spread), "size int, gram string, lang string, n long", count_grams, COUNTED_BYTES // 32).groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
     counts = materialise(counted.unionByName(words.select(F.lit(0).alias("size"), "gram", "lang", "n")), "counts")
     languages = sorted(r.lang for r in sample.select("lang").distinct().limit(MODEL_LIMIT // 1000).collect())
     kept = materialise(most_frequent(counts, F.when(F.col("size") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT)), "kept")
     check_size(kept.select("size", "gram").distinct().count(), len(languages))
     # a word kept for one language counts in all
     found = counts.join(F.broadcast(kept.select("size", "gram").distinct()), ["size", "gram"], "left_semi")
-    return Model(sorted((r.size, r.gram, r.lang, r.n) for r in found.select("size", "gram", "lang", "n").collect()), languages)
+    model = Model(sorted((r.size, r.gram, r.lang, r.n) for r in found.select("size", "gram", "lang", "n").collect()), languages)
+    discard(sample, words, counts, kept)
+    return model
 
 
 def check_size(entries: int, languages: int) -> int:
@@ -194,31 +236,36 @@ def check_size(entries: int, languages: int) -> int:
     return size
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str = "lang_pred", score: str = "score", familiar: str | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str = "lang_pred", score: str = "score", familiar: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Add the predicted language and its score (0 to 1); columns of these names are replaced.
 
+    ``keep`` names the columns that stay (null: all); texts that nobody needs afterwards aren't sent back.
+
     A text that is null or has no letter, or any text where nothing was learned, gets ``und`` and score 0.
     Of languages that tie, the first by name wins. Repeated rows are scored each, and alike. Only the text is
     looked at. ``familiar`` names a further column: how much of the text the model has met, 0 to 1, plus three
     standard errors, so that little is said against a short text.
     """
     names = [pred, score, *([familiar] if familiar else [])]
-    kept = docs.drop(*names)
-    own = broadcast_value(docs.sparkSession, model, MODEL_LIMIT, check_size(sum(map(len, model.tables.values())), len(model.languages)))
+    rows = docs.drop(*(x for x in names if x != text_col))
+    kept = rows.select(*(f"`{c}`" for c in rows.columns if c not in names and (keep is None or c in keep)))
+    own = model.shared(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [pa.array(x, t) for x, t in zip(own.value.predict(batch.column(text_col)), (pa.string(), pa.float64(), pa.float64()), strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns[: len(names)]], [*batch.schema.names, *names])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_names), *columns[: len(names)]], [*kept_names, *names])
 
-    return map_arrow(kept, with_fields(kept, f"`{pred}` string, " + ", ".join(f"`{x}` double" for x in names[1:])), run)
+    kept_names = kept.columns
+    return map_arrow(rows, with_fields(kept, f"`{pred}` string, " + ", ".join(f"`{x}` double" for x in names[1:])), run)
 
 
 def least_familiar(labelled: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 6) -> float:
     """How familiar a text of a learned language is at least: four fifths of what all but a thousandth of ``labelled``
     reach. These should be rows the model hasn't learned from; SAMPLE_DOCS a language are looked at. 0 without any."""
     rows = learning_rows(labelled, id_col, text_col, lang_col).where(F.col("lang").isin(model.languages) & F.col("text").rlike(r"\p{L}"))
-    found = predict(sample_by_language(rows, SAMPLE_DOCS, seed), model, familiar="familiar")
-    least = found.agg(F.percentile_approx("familiar", 0.001, 10_000)).first()[0]
+    sample = sample_by_language(rows, SAMPLE_DOCS, seed)
+    least = predict(sample, model, familiar="familiar", keep=[]).agg(F.percentile_approx("familiar", 0.001, 10_000)).first()[0]
+    discard(sample)
     return 0.8 * least if least is not None else 0.0
 
 

@@ -1,6 +1,3 @@
-import os
-
-import pytest
 from pyspark.sql import functions as F
 
 from termloom.llm import common
@@ -25,32 +22,3 @@ def test_repeated_ids_dont_shrink_the_sample(spark):
     got = common.bounded_sample(rows, "id", 20_000, 5).collect()
     order = rows.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(20_000).collect()
     assert len(got) == 20_000 and sorted(r.id for r in got) == sorted(r.id for r in order)
-
-
-def test_written_tables_are_read_back_and_discarded(spark):
-    made = common.materialise(spark.range(5), "five")
-    assert made.count() == 5 and os.path.isdir(made.scratch_path)
-    common.discard(made)
-    assert not os.path.exists(os.path.dirname(made.scratch_path))
-
-
-def test_scratch_folder_must_be_shared_on_a_cluster():
-    class Context:
-        master = "spark://host:7077"
-
-        def getConf(self):
-            return {}
-
-    class Session:
-        conf, sparkContext = {}, Context()
-
-    with pytest.raises(ValueError, match="share"):
-        common.scratch_dir(Session())
-    Context.master = "local[4]"
-    Session.conf = type("Conf", (dict,), {"set": dict.__setitem__})()
-    assert os.path.isdir(common.scratch_dir(Session()))
-
-
-def test_packed_rows_keep_any_column(spark):
-    rows = spark.createDataFrame([(1, 2, 3)], "row int, `a b` int, _id int")
-    assert common.packed(rows).withColumn("_id", F.lit(9)).select("row.*").collect() == rows.collect()

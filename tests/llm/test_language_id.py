@@ -20,7 +20,7 @@ def model(spark):
 
 def test_words_come_first_then_shorter_grams(model):
     assert model.languages == ["en", "fr"]
-    assert (model.word("the") == model.tables[0]["the"]).all()
+    assert (model.word("the") == model.scores[model.tables[0]["the"]]).all()
     four = li.grams("thex", 4)
     assert any(g in model.tables[4] for g in four)
     assert model.word("thex").argmax() == 0 and model.word("maisx").argmax() == 1
@@ -35,6 +35,15 @@ def test_defined_results(spark, model):
     assert li.predict(rows.limit(0), model).count() == 0
 
 
+def test_remembered_words_are_bounded_and_the_model_travels_once(spark, monkeypatch):
+    monkeypatch.setattr(li, "SEEN", 3)
+    model = li.fit(spark.createDataFrame(TRAIN, "doc_id long, text string, lang string"))
+    words = ["the", "thex", "roi", "roix", "zzz", "the", "maisx"]
+    twice = [[model.word(w).copy() for w in words] for _ in range(2)]
+    assert all((a == b).all() for a, b in zip(*twice, strict=True)) and len(model.seen) <= 3
+    assert model.shared(spark) is model.shared(spark)
+
+
 def test_nothing_to_learn_from(spark):
     none = li.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     rows = spark.createDataFrame([(1, "words")], "doc_id long, text string")
