@@ -49,19 +49,20 @@ class Model:
     many passes use it, and remembers the scores of up to SEEN words.
     """
 
-    def __init__(self, counts: list[tuple[int, str, str, int]], languages: list[str]):
-        """``counts``: size (0: word), gram, language, count."""
+    def __init__(self, counts: pa.Table, languages: list[str]):
+        """``counts``: size (0: word), gram, lang, n; one row for each of them."""
         self.languages = languages
-        at = {x: i for i, x in enumerate(languages)}
-        rows: dict[int, dict[str, np.ndarray]] = {}
-        for size, gram, lang, n in counts:
-            rows.setdefault(size, {}).setdefault(gram, np.zeros(len(languages)))[at[lang]] += n
         self.tables: dict[int, dict[str, int]] = {}
         scored, first = [np.zeros((0, len(languages)), np.float32)], 0
-        for size, table in rows.items():
-            self.tables[size] = {gram: first + i for i, gram in enumerate(table)}
-            scored.append(self._scored(np.array(list(table.values()))))
-            first += len(table)
+        for size in sorted(pc.unique(counts["size"]).to_pylist()):
+            part = counts.filter(pc.equal(counts["size"], size)).sort_by([("gram", "ascending"), ("lang", "ascending")]).combine_chunks()
+            encoded = pc.dictionary_encode(part["gram"].combine_chunks())
+            matrix = np.zeros((len(encoded.dictionary), len(languages)))
+            at = pc.index_in(part["lang"], pa.array(languages, part["lang"].type)).to_numpy()
+            np.add.at(matrix, (encoded.indices.to_numpy(), at), part["n"].to_numpy())
+            self.tables[size] = {gram: first + i for i, gram in enumerate(encoded.dictionary.to_pylist())}
+            scored.append(self._scored(matrix))
+            first += len(matrix)
         self.scores = np.concatenate(scored)
         self._fresh()
 
@@ -224,7 +225,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     check_size(kept.select("size", "gram").distinct().count(), len(languages))
     # a word kept for one language counts in all
     found = counts.join(F.broadcast(kept.select("size", "gram").distinct()), ["size", "gram"], "left_semi")
-    model = Model(sorted((r.size, r.gram, r.lang, r.n) for r in found.select("size", "gram", "lang", "n").collect()), languages)
+    model = Model(found.select("size", "gram", "lang", "n").toArrow(), languages)
     discard(sample, words, counts, kept)
     return model
 
