@@ -56,3 +56,19 @@ def components(edges: DataFrame) -> DataFrame:
             discard(edges)
             return found
         before = tuple(now)
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (as from ``components``) after more links (a, b), both materialised.
+
+    The links are taken as links between components, so those that were found before aren't gone through again.
+    """
+    if links.isEmpty():
+        return found
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = found.join(over.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    done = materialise(moved.select("node", F.coalesce("into", "component").alias("component")).unionByName(over), "components")
+    discard(over)
+    return done

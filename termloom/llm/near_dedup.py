@@ -5,7 +5,7 @@ most R positions must, by pigeonhole, have a chunk with at most one error. So ea
 under every chunk with every choice of one position left out, and all pairs within R meet in some bucket.
 
 Texts of equal shingle sets are one class. In each bucket, members are first tried against a pivot, then in
-rounds against a few more while that resolves buckets; what is linked becomes components. Only where a
+rounds against another one where the last one resolved something; what is linked becomes components. Only where a
 bucket still holds several components are the pairs between them compared, by signature, and those within
 R confirmed. These pairs are dealt to tasks as pairs of blocks: the bucket's largest component meets the
 others only. A large bucket is first indexed again by its members' other chunks, which keeps the
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import cut, discard, map_arrow, materialise
-from termloom.llm.components import components
+from termloom.llm.components import components, merged
 
 SHINGLE = 5
 #: Positions, positions in a chunk, chunks.
@@ -41,8 +41,7 @@ BUCKET = 512
 BLOCK = 128
 #: Shingles of a bucket's sets that are held in memory at once, twice; of longer texts, parts of a bucket meet in turn.
 HELD = 2_000_000
-#: Pivots that a round tries in each bucket; rounds go on while one leaves at most ROUND_LEAVES of the members.
-PIVOTS = 4
+#: A round tries a pivot in each bucket where the last one left at most this part of the members beside the largest component.
 ROUND_LEAVES = 0.5
 #: Most row ids that are broadcast to pick the texts to confirm.
 IDS_BROADCAST = 1_000_000
@@ -336,10 +335,9 @@ def confirm_meetings(meeting: DataFrame, sets: DataFrame, percent: int) -> DataF
 
 
 def pivots(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of members with PIVOTS members of their bucket that are of another component; other pivots each turn."""
-    chosen = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * turn + i), "id").alias("u"), "id", "component")) for i in range(PIVOTS)]
-    by_bucket = members.groupBy("key").agg(F.array(*chosen).alias("chosen"))
-    pairs = members.join(by_bucket, "key").select("id", "component", F.explode("chosen").alias("p")).where("component != p.component")
+    """Pairs (a, b) of members with a member of their bucket that is of another component; another pivot each turn."""
+    pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("u"), "id", "component")).alias("p")
+    pairs = members.join(members.groupBy("key").agg(pivot), "key").where("component != p.component")
     return pairs.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
 
 
@@ -408,35 +406,29 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     stars = held(near_by_signature(stars, reps), "stars")
     involved = held(members.select("id").distinct(), "involved")
     sets = held(sets_of(rows, involved).dropDuplicates(["id"]), "sets")
-    links = held(confirm(stars, sets, percent), "confirmed")
-    found = components(links)
+    found = components(held(confirm(stars, sets, percent), "confirmed"))
     done_with.append(found)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        own = rows.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        own = rows.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "was", F.coalesce("component", "id").alias("component"))
         own = held(own, "labelled")
         return held(own.join(unresolved(own, ["key"]), "key"), "open")
 
-    left, turn = labelled(members), 0
-    before = left.count()
-    while before:
-        links = held(links.unionByName(confirm(near_by_signature(held(pivots(left, turn), "pivots"), reps), sets, percent)).distinct(), "confirmed")
-        found = components(links)
-        done_with.append(found)
-        left, turn = labelled(left.select("key", "id")), turn + 1
-        now = left.count()
-        if now > ROUND_LEAVES * before:
-            break
-        before = now
-    left = held(left.join(reps, "id").withColumn("second", F.lit(-1).cast("long")), "unresolved")
+    # ``was``: the bucket's others before the last round
+    left, turn = labelled(members.withColumn("was", F.lit(2**62))), 0
+    while not (tried := left.where(F.col("others") <= ROUND_LEAVES * F.col("was"))).isEmpty():
+        links = held(confirm(near_by_signature(held(pivots(tried, turn), "pivots"), reps), sets, percent), "confirmed")
+        done_with.append(found := merged(found, links))
+        left, turn = labelled(left.select("key", "id", F.col("others").alias("was"))), turn + 1
+    left = held(left.drop("was").join(reps, "id").withColumn("second", F.lit(-1).cast("long")), "unresolved")
     open_members = left.where(F.col("n") <= BUCKET)
     if not (large := left.where(F.col("n") > BUCKET)).isEmpty():
         for part in grouped_again(large, reps, held):
             open_members = open_members.unionByName(part)
     meeting = meetings(dealt(open_members))
     more = held(confirm_meetings(held(meeting, "meetings"), sets, percent), "confirmed")
-    found = components(links.unionByName(more).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    discard(*done_with)
+    found = merged(found, more)
+    discard(*(x for x in done_with if x is not found))
 
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("class").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     done = signed.join(label, (F.col("class") == F.col("of")) & F.col("id").isNotNull(), "left")

@@ -158,3 +158,25 @@ def test_components_of_paths_and_stars(spark):
 
 def test_query_equals_sql(spark):
     assert same(spark, op9_near_dedup, OP9_SQL) == 200
+
+
+def test_pivots_are_tried_again_only_where_they_are_of_use(spark, monkeypatch):
+    """Alike but not linked, so that no pivot is of use: a text meets a pivot or two of each bucket, and links aren't gone through again."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"s{k}" for k in range(60)) + " " + " ".join(f"u{i}_{k}" for k in range(34))) for i in range(400)] + family(rng, 60, 80, 2, 1000)
+    tried, steps = [], []
+    near, large = nd.near_by_signature, cc._large_star
+    monkeypatch.setattr(nd, "near_by_signature", lambda pairs, reps: (tried.append(pairs.count()), near(pairs, reps))[1])
+    monkeypatch.setattr(cc, "_large_star", lambda edges: (steps.append(edges.count()), large(edges))[1])
+    assert got(nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert tried[0] and sum(tried[1:]) < 1.2 * tried[0]  # four pivots a bucket at once: four times as many
+    assert sum(steps[2:]) < steps[0]
+
+
+def test_merged_components_are_those_of_all_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    some, more = (materialise(spark.createDataFrame(x, "a long, b long"), "links") for x in (links[:120], links[120:]))
+    want = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {tuple(r) for r in cc.merged(components(some), more).collect()} == want
+    assert cc.merged(found := components(some), more.limit(0)) is found
