@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import broadcast_value, discard, map_arrow, materialise, with_fields
 
-#: Labelled documents of each language that the model is learned from at most: those of the smallest seeded hash.
+#: Labelled documents of each language that the model is learned from at most, unless all are asked for: those of the smallest seeded hash.
 SAMPLE_DOCS = 5_000
 #: Words, and n-grams of each size, that the model keeps of each language, about: those seen most often there.
 #: A word beyond is scored by its n-grams, an n-gram beyond by shorter ones, as unseen ones are.
@@ -189,15 +189,27 @@ def learning_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str
     return rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 6) -> Model:
-    """A model of the labelled rows (null language or text: left out), from at most SAMPLE_DOCS documents a language.
+def once_each(rows: DataFrame) -> DataFrame:
+    """Rows (id, lang, text), of those that repeat an id within a language the smallest text. Only these texts are moved."""
+    often = materialise(rows.groupBy("id", "lang").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "lang"), "often")
+    # ids may be null here, and such rows are one document
+    spread = F.broadcast(often) if often.count() <= IDS_BROADCAST else often
+    same = rows["id"].eqNullSafe(spread["id"]) & (rows["lang"] == spread["lang"])
+    repeated = rows.join(spread, same, "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+    return rows.join(spread, same, "left_anti").unionByName(repeated)
+
+
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 6, whole: bool = False) -> Model:
+    """A model of the labelled rows (null language or text: left out): all of them if ``whole``, else at most SAMPLE_DOCS
+    documents a language.
 
     Rows that repeat an id within a language count once. Counts are summed by Spark; the driver gets the words
     and n-grams that are kept, after their number was checked.
     """
     spark = labelled.sparkSession
-    sample = sample_by_language(learning_rows(labelled, id_col, text_col, lang_col), SAMPLE_DOCS, seed)
+    rows = learning_rows(labelled, id_col, text_col, lang_col)
     spread = spark.sparkContext.defaultParallelism
+    sample = once_each(rows) if whole else sample_by_language(rows, SAMPLE_DOCS, seed)
 
     def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: Counter = Counter()
@@ -216,17 +228,17 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         keys = list(zip(*found, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.string()), pa.array(found.values(), pa.int64())], ["size", "gram", "lang", "n"])
 
-    words = map_arrow(sample.repartition(spread), "gram string, lang string, n long", count_words, COUNTED_BYTES).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    words = map_arrow(sample if whole else sample.repartition(spread), "gram string, lang string, n long", count_words, COUNTED_BYTES).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     words = materialise(words, "words")
     counted = map_arrow(words.repartition(spread), "size int, gram string, lang string, n long", count_grams, COUNTED_BYTES // 32).groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
     counts = materialise(counted.unionByName(words.select(F.lit(0).alias("size"), "gram", "lang", "n")), "counts")
-    languages = sorted(r.lang for r in sample.select("lang").distinct().limit(MODEL_LIMIT // 1000).collect())
+    languages = sorted(r.lang for r in (rows if whole else sample).select("lang").distinct().limit(MODEL_LIMIT // 1000).collect())
     kept = materialise(most_frequent(counts, F.when(F.col("size") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT)), "kept")
     check_size(kept.select("size", "gram").distinct().count(), len(languages))
     # a word kept for one language counts in all
     found = counts.join(F.broadcast(kept.select("size", "gram").distinct()), ["size", "gram"], "left_semi")
     model = Model(found.select("size", "gram", "lang", "n").toArrow(), languages)
-    discard(sample, words, counts, kept)
+    discard(*([] if whole else [sample]), words, counts, kept)
     return model
 
 
@@ -260,14 +272,14 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str
     return map_arrow(rows, with_fields(kept, f"`{pred}` string, " + ", ".join(f"`{x}` double" for x in names[1:])), run)
 
 
-def least_familiar(labelled: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 6) -> float:
-    """How familiar a text of a learned language is at least: four fifths of what all but a thousandth of ``labelled``
-    reach. These should be rows the model hasn't learned from; SAMPLE_DOCS a language are looked at. 0 without any."""
-    rows = learning_rows(labelled, id_col, text_col, lang_col).where(F.col("lang").isin(model.languages) & F.col("text").rlike(r"\p{L}"))
-    sample = sample_by_language(rows, SAMPLE_DOCS, seed)
-    least = predict(sample, model, familiar="familiar", keep=[]).agg(F.percentile_approx("familiar", 0.001, 10_000)).first()[0]
-    discard(sample)
-    return 0.8 * least if least is not None else 0.0
+def least_familiar(found: DataFrame) -> float:
+    """How familiar a text of a learned language is at least: four fifths of what all but a thousandth of the texts reach.
+
+    ``found``: id, mark (of the text), familiar, of all texts of a known language that the model hasn't learned from. Rows that
+    repeat id and text count once. The thousandth's last one is found by rank, exactly. 0 without any."""
+    texts = found.select("id", "mark", "familiar").distinct()
+    rank = -(-texts.count() // 1000)
+    return 0.8 * texts.orderBy("familiar").limit(rank).agg(F.max("familiar")).first()[0] if rank else 0.0
 
 
 def held_out(id_col: str, of: int, remainder: int) -> Column:

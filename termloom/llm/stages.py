@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from termloom.llm.common import materialise
+from termloom.llm.common import discard, materialise
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Most ids of rows to drop that are broadcast.
@@ -22,20 +22,22 @@ IDS_BROADCAST = 1_000_000
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that is learned, go; null and empty texts among them.
 
-    Learned from the rows of a language that aren't held out. A text is of no such language where the model has met
-    less of it than of almost all held-out texts (see least_familiar). Where no row has a language, letters suffice.
+    Learned from all rows of a language that aren't held out. A text is of no such language where the model has met
+    less of it than of almost all held-out texts of a learned language (see least_familiar; all of them are looked at). Where no row has a language, letters suffice.
     Each row is judged by its text alone, repeated rows alike, whatever its id. Rows that go are known by id and hash
     of the text, so that texts are read twice, but go through no Python worker.
     """
     out = language_id.held_out("doc_id", 4, 2)
-    model = language_id.fit(docs.where(~out))
+    model = language_id.fit(docs.where(~out), whole=True)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    least = language_id.least_familiar(docs.where(out), model)
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
-    found = language_id.predict(rows, model, familiar="familiar", keep=["id", "mark"])
+    known = out & F.col("lang").cast("string").isin(model.languages)
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), known.alias("known"), "text")
+    found = materialise(language_id.predict(rows, model, familiar="familiar", keep=["id", "mark", "known"]), "found")
+    least = language_id.least_familiar(found.where(F.col("known") & (F.col("lang_pred") != language_id.UNKNOWN)))
     gone = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("familiar") < least)
     lost = materialise(found.where(gone).select("id", "mark").distinct(), "lost")
+    discard(found)
     lost = F.broadcast(lost) if lost.count() <= IDS_BROADCAST else lost
     same = docs["doc_id"].eqNullSafe(lost["id"]) & (F.xxhash64(docs["text"]) == lost["mark"])
     return docs.join(lost, same, "left_anti").select(*(f"`{c}`" for c in docs.columns))

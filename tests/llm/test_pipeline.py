@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import math
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -7,7 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from tests.llm.test_near_dedup import brute as near_brute
-from termloom.llm import stages
+from termloom.llm import language_id, stages
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -94,3 +96,22 @@ def test_empty_table_passes_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_the_language_stage_looks_at_all_rows(spark, monkeypatch):
+    """A bound of one document a language would miss most words, and the least familiar of the held-out texts."""
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda i: " ".join(f"{a}{letters[i % 26]}{a}{letters[i // 26]}mo" for a in "bdgkt")
+    rows = [(i, own(i // 4) + " the house", "en", "s") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.fit(docs, whole=True)
+    assert {w for r in rows for w in r[1].split()} <= set(model.tables[0])
+    assert language_id.fit(docs.unionByName(docs), whole=True).scores.tolist() == model.scores.tolist()  # repeated ids count once
+    made = []
+    least = language_id.least_familiar
+    monkeypatch.setattr(language_id, "least_familiar", lambda found: (made.append((sorted(r.familiar for r in found.collect()), least(found))), made[-1][1])[1])
+    assert stages.language(spark, docs, "").count() == len(rows)
+    (familiar, bound), = made
+    assert len(familiar) == sum(zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows)
+    assert bound == 0.8 * familiar[math.ceil(len(familiar) / 1000) - 1]
