@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.batches import cut, map_arrow
 from termloom.scratch import discard, materialise, scratch_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word of most operators: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Python frees a batch of texts before it takes the next; bounds both sides' memory for long texts.
-BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,27 +62,4 @@ def with_fields(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], fields).schema.fields])
 
 
-def map_arrow(df: DataFrame, schema: str | T.StructType, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = BATCH_BYTES) -> DataFrame:
-    """``mapInArrow`` in batches cut to about ``most`` bytes, so that long texts don't pile up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in cut(batch, most):
-                out = f(part)
-                if out is not None and out.num_rows:
-                    yield out
-            pa.default_memory_pool().release_unused()  # a worker lives on between tasks
-
-    return df.mapInArrow(run, schema)
-
-
-def cut(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, of about ``most`` bytes each (one row at least)."""
-    if not batch.num_rows:
-        return
-    step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
 __all__ = ["ascii_lower", "bounded_sample", "broadcast_value", "cut", "discard", "map_arrow", "materialise", "n_words", "scratch_dir", "table", "with_fields"]
