@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.batches import batch_of, map_arrow
 from termloom.functions.text import escape_markup, fold, marker, see_also, term_label
 from termloom.operators.curate import strings
 from termloom.operators.search import Finder, spans
@@ -57,19 +57,18 @@ def place_terms(terms: DataFrame, docs: DataFrame, main_only: bool = False) -> D
     wanted = F.struct("term", "main", F.concat(F.array("term"), F.col("aliases")).alias("names"))
     rows = places.groupBy("file").agg(F.collect_list(wanted).alias("wanted")).join(docs.select("file", "content", "ranges"), "file")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for file, wanted, content, ranges in zip(*(batch.column(c).to_pylist() for c in ("file", "wanted", "content", "ranges")), strict=True):
-                held = Finder(n for w in wanted for n in w["names"]).first(content, spans(ranges))
-                for w in wanted:
-                    end = next((held[n.lower()][1] for n in w["names"] if n.lower() in held), None)
-                    out.append((file, w["term"], w["main"], None if end is None else len(content[:end].encode())))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            types = (pa.string(), pa.string(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "term", "main", "offset"])
-
-    found = rows.select("file", "wanted", "content", "ranges").mapInArrow(run, "file string, term string, main boolean, offset long")
+    schema = pa.schema([("file", pa.string()), ("term", pa.string()), ("main", pa.bool_()), ("offset", pa.int64())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for file, wanted, content, ranges in zip(*(batch.column(c).to_pylist() for c in ("file", "wanted", "content", "ranges")), strict=True):
+            held = Finder(n for w in wanted for n in w["names"]).first(content, spans(ranges))
+            for w in wanted:
+                end = next((held[n.lower()][1] for n in w["names"] if n.lower() in held), None)
+                out.append((file, w["term"], w["main"], None if end is None else len(content[:end].encode())))
+        return batch_of(schema, out)
+
+    found = map_arrow(rows.select("file", "wanted", "content", "ranges"), "file string, term string, main boolean, offset long", run)
     return found.join(parent_chains(terms), "term").select("file", "term", "main", "chain", "offset")
 
 
@@ -83,19 +82,18 @@ def annotate(docs: DataFrame, placed: DataFrame) -> DataFrame:
     rows = docs.select("file", "content").join(grouped, "file", "left")
     pairs = F.coalesce(F.transform("marks", lambda m: F.struct(m["offset"].alias("at"), m["text"].alias("text"))), F.array().cast("array<struct<at bigint, text string>>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for content, marks in zip(batch.column("content").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                data, parts, last = (content or "").encode(), [], 0
-                for m in marks:
-                    parts += [data[last : m["at"]], m["text"].encode()]
-                    last = m["at"]
-                made = b"".join([*parts, data[last:]]).decode()
-                out.append(f"{IMPORT}\n{made}" if marks and "in-dexter" not in made else made)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(out, pa.string())], ["file", "annotated"])
-
-    return rows.select("file", "content", pairs.alias("marks")).mapInArrow(run, "file string, annotated string")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for content, marks in zip(batch.column("content").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            data, parts, last = (content or "").encode(), [], 0
+            for m in marks:
+                parts += [data[last : m["at"]], m["text"].encode()]
+                last = m["at"]
+            made = b"".join([*parts, data[last:]]).decode()
+            out.append(f"{IMPORT}\n{made}" if marks and "in-dexter" not in made else made)
+        return pa.RecordBatch.from_arrays([batch.column("file"), pa.array(out, pa.string())], ["file", "annotated"])
+
+    return map_arrow(rows.select("file", "content", pairs.alias("marks")), "file string, annotated string", run)
 
 
 def counters(placed: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.batches import batch_of, map_arrow
 from termloom.functions.text import alias_forms
 from termloom.operators.curate import strings
 from termloom.operators.search import Finder, spans
@@ -26,20 +25,19 @@ def check_locations(terms: DataFrame, docs: DataFrame, extensions: list[str] | N
     wanted = F.struct("term", "pos", F.concat(F.array("term"), F.col("aliases")).alias("names"), alias_forms("term").alias("forms"))
     rows = places.groupBy("file").agg(F.collect_list(wanted).alias("wanted")).join(docs.select("file", "content", "ranges"), "file", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for file, wanted, content, ranges in zip(*(batch.column(c).to_pylist() for c in ("file", "wanted", "content", "ranges")), strict=True):
-                held = Finder(f for w in wanted for f in w["names"] + w["forms"]).first(content, spans(ranges))
-                for w in wanted:
-                    status = "missing" if content is None else "resolved" if any(n.lower() in held for n in w["names"]) else "unresolved"
-                    suggestion = next((f for f in w["forms"] if f.lower() in held), None) if status == "unresolved" else None
-                    out.append((w["term"], w["pos"], file, status, suggestion))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["term", "pos", "file", "status", "suggestion"])
-
-    return rows.select("file", "wanted", "content", "ranges").mapInArrow(run, "term string, pos int, file string, status string, suggestion string")
+    schema = pa.schema([("term", pa.string()), ("pos", pa.int32()), ("file", pa.string()), ("status", pa.string()), ("suggestion", pa.string())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for file, wanted, content, ranges in zip(*(batch.column(c).to_pylist() for c in ("file", "wanted", "content", "ranges")), strict=True):
+            held = Finder(f for w in wanted for f in w["names"] + w["forms"]).first(content, spans(ranges))
+            for w in wanted:
+                status = "missing" if content is None else "resolved" if any(n.lower() in held for n in w["names"]) else "unresolved"
+                suggestion = next((f for f in w["forms"] if f.lower() in held), None) if status == "unresolved" else None
+                out.append((w["term"], w["pos"], file, status, suggestion))
+        return batch_of(schema, out)
+
+    return map_arrow(rows.select("file", "wanted", "content", "ranges"), "term string, pos int, file string, status string, suggestion string", run)
 
 
 def report(checked: DataFrame) -> DataFrame:
