@@ -5,8 +5,10 @@ import random
 
 import yaml
 
-from termloom.operators import keywords
+from termloom import queries
+from termloom.operators import events, keywords
 from termloom.sources import files
+from termloom.streaming import incremental
 
 
 def written(spark, tmp_path, name, number):
@@ -78,3 +80,31 @@ def test_features_of_a_row_are_not_shuffled(spark):
     assert sorted(map(tuple, keywords.yake_features(docs).collect()), key=repr) == want
     plan = keywords.yake_features(docs.where("file > 'f2'"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_events_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(40).selectExpr("id event_id", "id % 3 user_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for sql in (queries.LOG_SQL, queries.CHANGES_LOG_SQL):
+        assert queries.log_lines(spark, str(tmp_path), sql).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_stream_goes_on_within_a_turn(spark, tmp_path):
+    event = lambda kind, **delta: json.dumps({"type": "stream_event", "event": {"type": kind, "delta": delta}})
+    first = [event("message_start"), event("d", partial_json='{"terms": '), event("d", text="a")]
+    then = [event("d", partial_json="[1]}", text="b"), event("message_delta"), event("message_stop"), event("message_start"), event("d", partial_json="{"), event("message_stop")]
+    rows = [("s", i, line) for i, line in enumerate(first + then)]
+    source = tmp_path / "in"
+    for i, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, "session string, seq long, line string").coalesce(1).write.parquet(f"{source}/{i}")
+    found, name = [], "stream_within_a_turn"
+    lines = spark.readStream.schema("session string, seq long, line string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+    incremental.fold_events(lines, ["terms"]).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    found = sorted(spark.table(name).select("turns", "last_valid_turn", "output", "text", "json").collect())
+    assert [tuple(r) for r in found] == [(1, None, None, "a", '{"terms": '), (2, 1, '{"terms": [1]}', "ab", "{")]
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.range(3).selectExpr("'s' session", "id seq", "concat('{\"type\":\"stream_event\",\"event\":{\"type\":\"t', id, '\"}}') line")
+    parsed = events.parse_events(lines)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(r.kind for r in parsed.collect()) == ["t0", "t1", "t2"]
